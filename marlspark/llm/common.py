@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
 import tempfile
@@ -51,6 +52,18 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+@contextlib.contextmanager
+def wide_batches(spark: SparkSession, rows: int = 1 << 15):
+    """Larger Arrow batches for narrow columns, in what runs inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Just these columns, by exact name and position, whatever else df has (names that clash in case, dots, duplicates)."""
     columns = df.columns
