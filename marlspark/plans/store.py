@@ -261,7 +261,7 @@ _FOLD = """o AS (SELECT user_id, max(CASE WHEN event_type = 'purchase' THEN even
 fold AS (SELECT 'doc/' || o.user_id AS url, CASE WHEN last_type = 'purchase' THEN 'success' ELSE 'failed' END AS state, count(e.event_id) AS failures, o."at" FROM o LEFT JOIN events e ON e.user_id = o.user_id AND e.event_type = 'error' AND (o.ok IS NULL OR e.event_id > o.ok) GROUP BY ALL)"""
 
 
-@query(f"WITH {_FOLD} SELECT url, state, failures, "at" FROM fold")
+@query(f'WITH {_FOLD} SELECT url, state, failures, "at" FROM fold')
 def pdf_state_fold(spark, sf_dir):
     return C.fold_attempts(events(spark, sf_dir), "complete", "fail")
 
