@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import layout, scoring, store, web  # noqa: F401
+from .plans import layout, live, scoring, store, web  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
