@@ -158,6 +158,8 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, seed: int
         for r in paths:
             found.setdefault(np.packbits(r.holds(x)).tobytes(), r)
     rules = list(found.values())
+    if not rules:
+        return Model(base, [], [])
     z = np.stack([r.holds(x) for r in rules], 1).astype(float)
     hold = rng.random(len(y)) < 0.25
     if len(set(y[hold])) < 2 or len(set(y[~hold])) < 2:

@@ -37,14 +37,14 @@ STEPS = 3
 
 LIMITS = "n_words < 20 OR 100 * n_repeat_words > 30 * n_words"
 
-#: name: (column, least standard deviation, so that statistics that hardly vary don't reject all that do)
+#: name: (SQL over the statistics, least standard deviation, so that statistics that hardly vary don't reject all that do)
 VECTOR = {
-    "x0": (F.log(F.expr("(word_chars + 250) / (n_words + 50)")), 0.04),
-    "x1": (F.sqrt(F.expr("n_symbols / (word_chars + 50)")), 0.03),
-    "x2": (F.expr("n_upper / (n_upper + n_lower + 50)"), 0.02),
-    "x3": (F.sqrt(F.expr("n_adjacent / (n_words + 20)")), 0.03),
-    "x4": (F.sqrt(F.expr("n_repeat_words / (n_words + 20)")), 0.1),
-    "x5": (F.sqrt(F.expr("n_bangs / (word_chars + 50)")), 0.03),
+    "x0": ("ln((word_chars + 250) / (n_words + 50))", 0.04),
+    "x1": ("sqrt(n_symbols / (word_chars + 50))", 0.03),
+    "x2": ("n_upper / (n_upper + n_lower + 50)", 0.02),
+    "x3": ("sqrt(n_adjacent / (n_words + 20))", 0.03),
+    "x4": ("sqrt(n_repeat_words / (n_words + 20))", 0.1),
+    "x5": ("sqrt(n_bangs / (word_chars + 50))", 0.03),
 }
 P = len(VECTOR)
 _pairs = [(i, j) for i in range(P) for j in range(i + 1)]
@@ -124,7 +124,7 @@ def _sums(rows: DataFrame, of: dict[str, Column]) -> DataFrame:
 def vectors(stats: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """stats with its group and transformed vector."""
     part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
-    return stats.withColumn("grp", F.concat(part(lang), F.lit("\n"), part(source))).withColumns({k: c for k, (c, _) in VECTOR.items()})
+    return stats.withColumn("grp", F.concat(part(lang), F.lit("\n"), part(source))).withColumns({k: F.expr(c) for k, (c, _) in VECTOR.items()})
 
 
 def estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
