@@ -80,7 +80,7 @@ def resolve(records: DataFrame) -> DataFrame:
     before = Window.partitionBy("canon").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(F.col("canon").alias("c"), F.col("part").alias("p"), F.max_by("end", "rank").over(before).alias("carried"))
     found = here.filter("kind = 'revisit'").join(carried, (F.col("canon") == F.col("c")) & (F.col("part") == F.col("p")), "left")
-    found = found.withColumn("full", F.when(F.col("at").isNotNull(), F.coalesce("here", "carried")))
+    found = found.withColumn("full", F.when(F.col("at").isNotNull() & F.col("canon").isNotNull(), F.coalesce("here", "carried")))
     tags = F.col("etag").isNotNull() & F.col("full.etag").isNotNull()
     dates = F.col("last_modified").isNotNull() & F.col("full.last_modified").isNotNull()
     same = F.when(tags, _weak(F.col("etag")) == _weak(F.col("full.etag"))).when(dates, F.col("last_modified") == F.col("full.last_modified"))
