@@ -148,12 +148,13 @@ OCR_FIXES = {
 
 
 def clean_block(t: Column) -> Column:
-    """Words broken over lines joined, a lost first letter of the first word put back, single spaces."""
-    t = F.trim(F.regexp_replace(F.regexp_replace(t, "([a-z])\n([a-z])", "$1$2"), SPACES, " "))
+    """Lines of a sentence joined, a lost first letter of the first word (bullets aside) put back, single spaces."""
+    t = F.trim(F.regexp_replace(F.regexp_replace(t, "([a-z])\n(?=[a-z])", "$1 "), SPACES, " "))
     first = F.substring_index(t, " ", 1)
-    fixes = F.create_map(*[F.lit(x) for kv in OCR_FIXES.items() for x in kv])
-    fixed = F.element_at(fixes, first)
-    return F.when(fixed.isNotNull(), F.concat(fixed, F.substring(t, F.length(first) + 1, F.length(t)))).otherwise(t)
+    bare = F.regexp_replace(first, "^[•*→-]+", "")
+    fixed = F.element_at(F.create_map(*[F.lit(x) for kv in OCR_FIXES.items() for x in kv]), bare)
+    lead = F.substring(first, F.lit(1), F.length(first) - F.length(bare))
+    return F.when(fixed.isNotNull(), F.concat(lead, fixed, F.substring(t, F.length(first) + 1, F.length(t)))).otherwise(t)
 
 
 def is_artifact(t: Column) -> Column:

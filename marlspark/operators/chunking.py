@@ -32,10 +32,10 @@ def split_chunks(docs: DataFrame, key: str, text: str = "text", heading: str | N
     n = F.length(t)
     later = F.when(n > head, F.sequence(head, F.greatest(head, n - 1), F.lit(most))).otherwise(F.array().cast("array<int>"))
     starts = F.concat(F.array(F.lit(0)), later)
-    d = docs.select(key, t.alias("t"), h.alias("h"), head.alias("first"), F.posexplode(starts).alias("k", "start"))
-    part = F.substring(F.col("t"), F.col("start") + 1, F.when(F.col("k") == 0, F.col("first")).otherwise(F.lit(most)))
-    lead = F.when((F.col("k") > 0) & (F.col("h") != ""), F.concat(F.lit("(continued from: "), F.col("h"), F.lit(")\n"))).otherwise(F.lit(""))
-    return d.select(key, F.concat(F.lit("cs"), F.col("k") + 1).alias("chunk_id"), "start", F.concat(lead, part).alias("chunk"), F.length(part).alias("n_chars"))
+    d = docs.select(key, t.alias("_t"), h.alias("_h"), head.alias("_first"), F.posexplode(starts).alias("_k", "_start"))
+    part = F.substring(F.col("_t"), F.col("_start") + 1, F.when(F.col("_k") == 0, F.col("_first")).otherwise(F.lit(most)))
+    lead = F.when((F.col("_k") > 0) & (F.col("_h") != ""), F.concat(F.lit("(continued from: "), F.col("_h"), F.lit(")\n"))).otherwise(F.lit(""))
+    return d.select(key, F.concat(F.lit("cs"), F.col("_k") + 1).alias("chunk_id"), F.col("_start").alias("start"), F.concat(lead, part).alias("chunk"), F.length(part).alias("n_chars"))
 
 
 def chunk_numbers(sizes: Column, most: int = 1000) -> Column:
