@@ -1 +1 @@
-"""Registered queries: compositions of operators over the reference tables, each beside its DuckDB SQL."""
+"""Registered queries: compositions of operators over the test tables, each beside its DuckDB SQL."""

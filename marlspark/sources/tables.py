@@ -1,4 +1,4 @@
-"""Tables of a folder, and the bindings by which the reference tables stand for a crawl, its cache and its queue."""
+"""Tables of a folder, and the bindings by which the test tables stand for a crawl, its cache and its queue."""
 
 from __future__ import annotations
 
