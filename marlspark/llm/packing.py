@@ -18,6 +18,7 @@ from __future__ import annotations
 import bisect
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,11 +32,19 @@ LENGTH = 4096
 END = 1
 
 
+#: The steps by which a word vocabulary of this kind splits texts, and its pattern for Latin-1 in lower case.
+_STEPS = ("NFC", "Replace", "Lowercase")
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
+
+
 class Tokens:
     """Token ids of texts as little-endian bytes.
 
     Tokens don't reach across white space in this kind of vocabulary, so that
     each stretch between blanks is encoded once and kept in a bounded cache.
+    Texts in Latin-1, where lower-casing and composition concern single
+    characters, are split into the pattern's own units, of which there are fewer.
     """
 
     def __init__(self, path: str, most: int = 400_000):
@@ -43,41 +52,66 @@ class Tokens:
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.cache: dict[str, bytes] = {}
-        # special tokens and patterns may not hold a blank, else texts are encoded whole
-        self.by_word = self._separable()
-        self.blank = re.compile(r"[ \n]+")
+        self.by_word, self.by_unit = self._separable()
 
-    def _separable(self) -> bool:
+    def _separable(self) -> tuple[bool, bool]:
         import json
 
         spec = json.loads(self.tokenizer.to_str())
-        flat = json.dumps(spec.get("normalizer") or {})
-        return (
-            (spec["model"].get("end_of_word_suffix") or "") != ""
-            and '"Replace"' in flat
-            and "Prepend" not in flat
-            and '"behavior": "Removed"' in json.dumps(spec.get("pre_tokenizer") or {})
-            and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
-        )
+        steps = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        split = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        special = any(" " in t["content"] or "\n" in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
+        word = bool(spec["model"].get("end_of_word_suffix")) and "Replace" in steps and "Prepend" not in steps and split.get("behavior") == "Removed" and not special
+        marked = all(t["content"].startswith("<|") for t in spec["added_tokens"])
+        return word, word and marked and tuple(steps) == _STEPS and split.get("pattern", {}).get("Regex") == _PATTERN
+
+    def _units(self, text: str | None) -> tuple[list[str], bool]:
+        """What a text is encoded by, and whether each is one unit of the pattern."""
+        if not text:
+            return [], True
+        if self.by_unit and "<|" not in text:
+            try:
+                text.encode("latin-1")
+                return _LATIN.findall(text.lower()), True
+            except UnicodeEncodeError:
+                pass
+        return text.replace("\n", " ").split(" "), False
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _learn(self, units: list[str]) -> list[bytes]:
+        """Units of the pattern in one go: blanks keep them apart."""
+        out = []
+        for i in range(0, len(units), 4096):
+            part = units[i : i + 4096]
+            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids, of = np.array(e.ids, "<u4"), np.array(e.word_ids, np.int64)
+            edge = np.flatnonzero(np.r_[True, of[1:] != of[:-1], True])
+            if len(edge) != len(part) + 1:
+                out += self._encode(part)
+                continue
+            raw, edge = ids.tobytes(), (edge * 4).tolist()
+            out += [raw[x:z] for x, z in zip(edge, edge[1:], strict=False)]
+        return out
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         if not self.by_word:
             return self._encode([t or "" for t in texts])
-        words = [self.blank.split(t) if t else [] for t in texts]
+        cut = [self._units(t) for t in texts]
         cache = self.cache
-        new = [w for w in set().union(*words) if w not in cache]
-        if len(cache) + len(new) > self.most:
+        if len(cache) > self.most:
             cache.clear()
-            new = list(set().union(*words))
-        once = {}
-        for w, ids in zip(new, self._encode(new), strict=True):
-            (cache if len(w) <= 64 else once)[w] = ids
-        if once:
-            return [b"".join([cache[w] if len(w) <= 64 else once[w] for w in x]) for x in words]
-        return [b"".join([cache[w] for w in x]) for x in words]
+        units = set().union(*[u for u, single in cut if single])
+        new = [u for u in units if u not in cache]
+        cache.update(zip(new, self._learn(new), strict=True))
+        words = [w for w in set().union(*[u for u, single in cut if not single]) if w not in cache]
+        cache.update(zip(words, self._encode(words), strict=True))
+        out = [b"".join([cache[u] for u in us]) for us, _ in cut]
+        for w in [*new, *words]:
+            if len(w) > 64:  # long ones don't come again
+                del cache[w]
+        return out
 
 
 _tokens: dict[str, Tokens] = {}
