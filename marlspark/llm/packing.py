@@ -233,7 +233,8 @@ def place(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     rank_bits = np.int64(48)
     table = (keys[0] << rank_bits) | keys[1] if slots else np.zeros(0, np.int64)
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = rows.join(counts.select("task", "length", before.alias("first")), ["task", "length"]).withColumn("rank", F.col("first") + F.col("local"))
+    # counts grow with the tasks, and their file is far smaller than they are in memory: never broadcast
+    ranked = rows.join(counts.select("task", "length", before.alias("first")).hint("merge"), ["task", "length"]).withColumn("rank", F.col("first") + F.col("local"))
     names = [c for c in rows.columns if c not in ("task", "local")]
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names) + ", sequence_id bigint, offset bigint"
 
