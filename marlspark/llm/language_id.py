@@ -17,7 +17,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, map_texts, pick, remainder
@@ -130,15 +130,24 @@ class ByteConvNet:
 
 
 def train(docs: DataFrame, per_language: int = 1200, windows_per_text: int = 2) -> ByteConvNet | None:
-    """Fit on a bounded sample: of each language the `per_language` texts with the smallest hash of doc_id, windows of each at hashed places."""
-    d = pick(docs, "doc_id", "text", "lang").filter("doc_id IS NOT NULL AND lang IS NOT NULL AND text RLIKE '\\\\p{L}'")
+    """Fit on a bounded sample: of each language about `per_language` texts, those with the smallest hashes of doc_id, windows of each at hashed places.
+
+    A language's share of hashes follows from its number of rows, so that the
+    sample needs no sort and no task gathers a language.
+    """
+    d = pick(docs, "doc_id", "text", "lang").filter("doc_id IS NOT NULL AND lang IS NOT NULL")
+    sizes = {r["lang"]: r["count"] for r in d.groupBy("lang").count().collect()}  # a row for each class of the network
+    if not sizes:
+        return None
     h = F.xxhash64("doc_id")
+    share = F.lit(0)
+    for lang, n in sorted(sizes.items()):
+        share = F.when(F.col("lang") == lang, F.lit(min(1 << 30, -(-per_language * (1 << 30) // n)))).otherwise(share)
     places = [F.substring("text", (F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(F.length("text") - WINDOW // 2, F.lit(1)).cast("long")) + 1).cast("int"), F.lit(WINDOW)) for k in range(windows_per_text)]
-    small = d.select("lang", h.alias("h"), *[p.alias(f"w{k}") for k, p in enumerate(places)])
-    ranked = small.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "w0"))).filter(F.col("r") <= per_language)
-    rows = ranked.collect()
-    if not rows:
-        return None
+    few = d.filter(F.pmod(h, F.lit(1 << 30)) < share).filter("text RLIKE '\\\\p{L}'")
+    few = few.select("lang", h.alias("h"), *[p.alias(f"w{k}") for k, p in enumerate(places)])
+    # rows that repeat a doc_id could be many: one stands for all
+    rows = [r["r"] for r in few.groupBy("h").agg(F.min(F.struct("lang", "h", *[f"w{k}" for k in range(windows_per_text)])).alias("r")).collect()]
     classes = sorted({r["lang"] for r in rows})
     x, y = [], []
     for r in sorted(rows, key=lambda r: (r["h"], r["lang"], r["w0"])):
@@ -146,7 +155,7 @@ def train(docs: DataFrame, per_language: int = 1200, windows_per_text: int = 2)
             if has_letter(r[f"w{k}"]):
                 x.append(r[f"w{k}"].encode()[:WINDOW])
                 y.append(classes.index(r["lang"]))
-    return ByteConvNet(classes).fit(windows(x)[0], np.array(y))
+    return ByteConvNet(classes).fit(windows(x)[0], np.array(y)) if x else None
 
 
 def identify(docs: DataFrame, model: ByteConvNet | None) -> DataFrame:
