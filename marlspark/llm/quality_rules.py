@@ -34,6 +34,7 @@ SHARE = 0.75
 TAIL = 1e-12
 LEAST = 60
 STEPS = 3
+SALTS = 64
 
 LIMITS = "n_words < 20 OR 100 * n_repeat_words > 30 * n_words"
 
@@ -73,6 +74,11 @@ def chi2_tail(p: float, df: int) -> float:
     return hi
 
 
+def _meet(rows: DataFrame, params: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows with their group's parameters. A group may hold a third of all rows: its rows are dealt over salts, and its parameters repeated for each."""
+    return rows.join(params.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["grp", "salt"], how)
+
+
 def _distance(s: str) -> Column:
     """Squared distance under start s, whose mean and inverse are columns."""
     c = [F.col(f"x{i}") - F.col(f"{s}_m{i}") for i in range(P)]
@@ -122,27 +128,27 @@ def _sums(rows: DataFrame, of: dict[str, Column]) -> DataFrame:
 
 
 def vectors(stats: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """stats with its group and transformed vector."""
+    """stats with its group, its transformed vector, and a salt by place in the table."""
     part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
-    return stats.withColumn("grp", F.concat(part(lang), F.lit("\n"), part(source))).withColumns({k: F.expr(c) for k, (c, _) in VECTOR.items()})
+    return stats.withColumn("grp", F.concat(part(lang), F.lit("\n"), part(source))).withColumns({k: F.expr(c) for k, (c, _) in VECTOR.items()}).withColumn("salt", (F.monotonically_increasing_id() % SALTS).cast("int"))
 
 
 def estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
-    """grp, total, mean m*, inverse covariance v* for every group of rows with grp and x*."""
+    """grp, total, mean m*, inverse covariance v* for every group of stored rows with grp, x* and salt."""
     x = [f"x{i}" for i in range(P)]
-    rows = rows.select("grp", *x)
+    rows = rows.select("grp", "salt", *x)
     # starts: a, all rows in the group's middle half in every statistic's terms; b, all rows
     quart = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("total"), *[F.percentile_approx(c, [0.25, 0.5, 0.75], 1000).alias(f"p{c}") for c in x])
     quart = materialize(quart, "quartiles")
     floor = [f for _, f in VECTOR.values()]
     z = [F.abs(F.col(c) - F.col(f"p{c}")[1]) / F.greatest((F.col(f"p{c}")[2] - F.col(f"p{c}")[0]) / 1.349, F.lit(f)) for c, f in zip(x, floor, strict=True)]
     near = F.greatest(*z) <= 2.5
-    params = materialize(_solve(_sums(rows.join(quart, "grp"), {"a": near, "b": F.lit(True)}), 1.0), "starts")
+    params = materialize(_solve(_sums(_meet(rows, quart), {"a": near, "b": F.lit(True)}), 1.0), "starts")
     for _ in range(steps):
-        far = rows.join(params, "grp").select("grp", "total", *x, *[_distance(s).alias(f"{s}_d") for s in _start])
+        far = _meet(rows, params).select("grp", "salt", "total", *x, *[_distance(s).alias(f"{s}_d") for s in _start])
         cut = far.groupBy("grp").agg(*[F.percentile_approx(f"{s}_d", share, 2000).alias(f"{s}_cut") for s in _start])
         cut = materialize(cut, "cuts")
-        kept = far.join(cut, "grp")
+        kept = _meet(far, cut)
         params = materialize(_solve(_sums(kept, {s: F.col(f"{s}_d") <= F.col(f"{s}_cut") for s in _start}), share), "steps")
     best = lambda n: F.when(F.col("a_det") <= F.col("b_det"), F.col(f"a_{n}")).otherwise(F.col(f"b_{n}")).alias(f"a_{n}")
     return params.select("grp", "total", *[best(f"m{i}") for i in range(P)], *[best(f"v{i}{j}") for i, j in _pairs])
@@ -153,7 +159,7 @@ def judge(docs: DataFrame, share: float = SHARE, tail: float = TAIL, least: int
     stats = materialize(vectors(statistics(pick(docs, "doc_id", "text", "lang", "source"), "lang", "source")), "stats")
     params = estimates(stats, share)
     limit = chi2_tail(tail, P)
-    out = stats.join(params, "grp", "left").withColumn("distance", F.when(F.col("total") >= least, _distance("a")))
+    out = _meet(stats, params, "left").withColumn("distance", F.when(F.col("total") >= least, _distance("a")))
     out = out.withColumn("base_failed", F.expr(LIMITS))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

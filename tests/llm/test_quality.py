@@ -40,7 +40,7 @@ def test_estimates_resist_outliers(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(0, 0.2, (2000, R.P))
     x[:400] += 5
-    df = spark.createDataFrame([("g", *map(float, v)) for v in x], "grp string, " + ", ".join(f"x{i} double" for i in range(R.P)))
+    df = spark.createDataFrame([("g", i % R.SALTS, *map(float, v)) for i, v in enumerate(x)], "grp string, salt int, " + ", ".join(f"x{i} double" for i in range(R.P)))
     p = R.estimates(df).first()
     assert all(abs(p[f"a_m{i}"]) < 0.05 for i in range(R.P))
     v = np.linalg.inv(np.array([[p[f"a_v{max(i, j)}{min(i, j)}"] for j in range(R.P)] for i in range(R.P)]))
