@@ -33,11 +33,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder. The JVM removes it when the application ends."""
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{context.applicationId}/{name}-{uuid.uuid4().hex}")
+    store = where.getFileSystem(context._jsc.hadoopConfiguration())
+    store.deleteOnExit(where)
+    # with its scheme, also where the setting has none: Spark and Files must mean the same store
+    return store.makeQualified(where).toString()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -147,7 +148,7 @@ class Files:
 
         if self.local:
             path = f"{self.root}/{name}"
-            return np.memmap(path, dtype=np.uint8, mode="r") if os.path.getsize(path) else np.zeros(0, np.uint8)
+            return np.asarray(np.memmap(path, dtype=np.uint8, mode="r")) if os.path.getsize(path) else np.zeros(0, np.uint8)
         store, root = self._fs()
         with store.open_input_file(f"{root}/{name}") as f:
             return np.frombuffer(f.read(), dtype=np.uint8)
