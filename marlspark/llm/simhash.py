@@ -34,7 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, map_texts, materialize, wide_batches
+from . import near_copies
+from .common import documents, fresh_path, map_texts, materialize, wide_batches
 
 BITS = 64
 SEED = 42
@@ -276,7 +277,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return map_texts(documents(docs), "print bigint", make)
 
 
-def near_duplicates(docs: DataFrame, threshold: int = 4, blocks: int = 3, shingle: int = 4, homes: int = HOMES) -> DataFrame:
+def linked_prints(docs: DataFrame, threshold: int = 4, blocks: int = 3, shingle: int = 4, homes: int = HOMES) -> DataFrame:
     """doc_id, print, component_id for every row of docs."""
     prints = materialize(fingerprints(docs, shingle), "prints")
     points = materialize(prints.filter("doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").cast("bigint").alias("node")), "points")
@@ -286,6 +287,22 @@ def near_duplicates(docs: DataFrame, threshold: int = 4, blocks: int = 3, shingl
     return prints.join(classes, "print", "left").select("doc_id", "print", "component_id")
 
 
+def near_duplicates(docs: DataFrame, shingle: int = near_copies.SHINGLE, similarity: float = near_copies.SIMILARITY) -> DataFrame:
+    """doc_id, component_id for every row of docs, by the Jaccard similarity of whole sets of shingles.
+
+    A few bits of a fingerprint miss most pairs below 0.95; these are found in near_copies, and contracted as links of fingerprints are.
+    """
+    folder = fresh_path(docs.sparkSession, "sets")
+    found = materialize(near_copies.sketches(docs, folder, shingle), "sketches")
+    first = F.min_by(F.struct("file", "at", "n", "bands"), "doc_id").alias("first")
+    points = found.filter("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").cast("bigint").alias("node"), first)
+    points = materialize(points.select("digest", "node", "first.*"), "points")
+    with wide_batches(docs.sparkSession):
+        joined = components(near_copies.links(points, folder, similarity))
+    classes = points.join(joined, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    return found.join(classes, "digest", "left").select("doc_id", "component_id")
+
+
 def query(docs: DataFrame) -> DataFrame:
-    found = near_duplicates(docs)
+    found = linked_prints(docs)
     return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
