@@ -13,9 +13,10 @@ and task; a group's rows are never gathered. Parameters (one row for each
 language and source) are joined back, so that their number is not bounded.
 
 Defined results: a null text has no words and fails. Null lang or source are a
-group of their own. A group of fewer than `least` rows, where such an estimate
-means nothing, has no outliers. Ties at the kept share all stay. Repeated rows
-each count. Other columns are ignored.
+group of their own. A group of fewer than `least` rows, where an estimate of
+its own means nothing, is judged by the estimate of all rows of its language;
+where those are fewer too, by that of all rows, however few. Ties at the kept
+share all stay. Repeated rows each count. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -154,12 +155,31 @@ def estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> Data
     return params.select("grp", "total", *[best(f"m{i}") for i in range(P)], *[best(f"v{i}{j}") for i, j in _pairs])
 
 
+def pools(stats: DataFrame, least: int = LEAST) -> DataFrame:
+    """grp, by (the pool whose estimate judges it) and pools (those that its rows are in), for every group of stats.
+
+    Groups' names begin with = or a line break; L and a language, and A for all rows, are none.
+    """
+    sizes = stats.groupBy("grp").count().withColumn("tongue", F.concat(F.lit("L"), F.substring_index("grp", "\n", 1)))
+    # a language's name may have line breaks: groups that are told apart stay so, their pools may be shared
+    sizes = materialize(sizes, "sizes")
+    whole = sizes.groupBy("tongue").agg(F.sum("count").alias("all"), F.min("count").alias("fewest"))
+    found = sizes.join(whole, "tongue")
+    by = F.when(F.col("count") >= least, F.col("grp")).when(F.col("all") >= least, F.col("tongue")).otherwise("A")
+    found = materialize(found.withColumn("by", by), "pools")
+    some = F.lit(not found.filter("by = 'A'").isEmpty())
+    own = F.when(F.col("count") >= least, F.col("grp"))
+    tongue = F.when((F.col("fewest") < least) & (F.col("all") >= least), F.col("tongue"))
+    return found.select("grp", "by", F.array_compact(F.array(own, tongue, F.when(some, F.lit("A")))).alias("pools"))
+
+
 def judge(docs: DataFrame, share: float = SHARE, tail: float = TAIL, least: int = LEAST) -> DataFrame:
-    """doc_id, the base counts, base_failed, distance (squared; null in small groups), kept."""
+    """doc_id, the base counts, base_failed, distance (squared), kept."""
     stats = materialize(vectors(statistics(pick(docs, "doc_id", "text", "lang", "source"), "lang", "source")), "stats")
-    params = estimates(stats, share)
+    stats = materialize(_meet(stats, pools(stats, least)), "pooled")
+    params = estimates(stats.withColumn("grp", F.explode("pools")), share)
     limit = chi2_tail(tail, P)
-    out = _meet(stats, params, "left").withColumn("distance", F.when(F.col("total") >= least, _distance("a")))
+    out = _meet(stats.withColumn("grp", F.col("by")), params, "left").withColumn("distance", _distance("a"))
     out = out.withColumn("base_failed", F.expr(LIMITS))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

@@ -36,6 +36,29 @@ def test_rules_keep_clean_and_reject_broken(spark):
     assert sum(r.kept for r in good) == len(good)
 
 
+def test_small_groups_are_judged_by_pools(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert d.groupBy("lang", "source").count().filter(f"count >= {R.LEAST}").isEmpty()
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = R.query(d).join(labels, "doc_id").collect()
+    assert all(r.distance is not None for r in rows)
+    bad = [r for r in rows if r.quality == 0 and not r.base_failed]
+    assert bad and sum(not r.kept for r in bad) >= 0.8 * len(bad)
+    few = R.query(d.limit(3)).collect()
+    assert len(few) == 3 and all(r.distance is not None for r in few)
+
+
+def test_pools(spark):
+    sizes = {("en", "a"): 70, ("en", "b"): 5, ("de", "a"): 40, ("de", "b"): 30, ("fr", "a"): 9, (None, "a"): 80}
+    rows = [(1, "x", *g) for g, n in sizes.items() for _ in range(n)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, lang string, source string")
+    got = {r.grp: (r.by, sorted(r.pools)) for r in R.pools(R.vectors(R.statistics(df, "lang", "source"))).collect()}
+    assert got == {
+        "=en\n=a": ("=en\n=a", ["=en\n=a", "A", "L=en"]), "=en\n=b": ("L=en", ["A", "L=en"]), "=de\n=a": ("L=de", ["A", "L=de"]),
+        "=de\n=b": ("L=de", ["A", "L=de"]), "=fr\n=a": ("A", ["A"]), "\n=a": ("\n=a", ["\n=a", "A"]),
+    }
+
+
 def test_estimates_resist_outliers(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(0, 0.2, (2000, R.P))
