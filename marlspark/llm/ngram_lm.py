@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 from .common import Files, documents, fresh_path, remainder
 
 K = 20.0
-LEAST = 2
+#: All pairs are stored.
+LEAST = 1
 #: Fixed marks beside the hashes of words.
 END, START = 1, 0
 #: Bits of a quantised probability, and the smallest power of ten that they reach.

@@ -46,6 +46,17 @@ def test_query_equals_brute_force(docs, remainder):
         assert abs(want - r.score) < 3e-4 * len(w)
 
 
+def test_pairs_seen_once_count(spark):
+    df = spark.createDataFrame([(0, "salt pepper"), (1, "salt water"), (3, "cold pepper")], "doc_id bigint, text string")
+    model = L.fit(df)
+    got = {r.doc_id: r.score for r in L.score(df, model).collect()}
+    n, v, k = 9, 5, L.K
+    p1 = {"salt": 3 / (n + v + 1), "pepper": 3 / (n + v + 1), None: 4 / (n + v + 1)}
+    # counts: after the start mark salt 2 of 3, after salt pepper 1 of 2, after pepper the end 2 of 2
+    want = sum(math.log10((c + k * p1[w]) / (u + k)) for c, u, w in ((2, 3, "salt"), (1, 2, "pepper"), (2, 2, None)))
+    assert abs(got[0] - want) < 1e-3
+
+
 def test_odd_rows(odd, empty):
     rows = L.query(odd).collect()
     assert len(rows) == odd.count() and all(r.score <= 0 and r.n_tokens >= 1 for r in rows)
