@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, pick, remainder
+from .common import materialize, pick, remainder
 from .textstats import statistics
 
 #: Labelled rows to fit on, at most: those with the smallest hash of doc_id.
@@ -177,8 +177,8 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, seed: int
     return Model(b, [rules[i] for i in keep], [float(w[i]) for i in keep])
 
 
-def features(stats: DataFrame) -> DataFrame:
-    return stats.select("doc_id", *[F.expr(e).cast("double").alias(n) for n, e in FEATURES.items()])
+def features(stats: DataFrame, *keep: str) -> DataFrame:
+    return stats.select("doc_id", *keep, *[F.expr(e).cast("double").alias(n) for n, e in FEATURES.items()])
 
 
 def train(feats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -192,11 +192,20 @@ def train(feats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every row; rows whose remainder is 0 aren't learned from."""
-    feats = materialize(features(statistics(documents(docs))), "features")
+    feats = materialize(features(statistics(docs)), "features")
     model = train(feats.filter(remainder(5) != 0), labels, sample)
     out = feats.select("doc_id", (remainder(5) == 0).alias("held_out"), model.column().alias("score"))
     return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 
+def kept(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose own text score() predicts 1 for, whatever their doc_ids."""
+    marked = docs.join(pick(labels, "doc_id").distinct(), "doc_id", "left_semi")
+    model = train(features(statistics(marked)).filter(remainder(5) != 0), labels, sample)
+    names = [c for c in docs.columns if c not in ("doc_id", "text")] + ["whole"]
+    rows = features(statistics(docs.withColumn("whole", F.col("text")), *names), *names)
+    return rows.filter(model.column() >= threshold).withColumnRenamed("whole", "text").select(*docs.columns)
+
+
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, labels)

@@ -173,18 +173,33 @@ def pools(stats: DataFrame, least: int = LEAST) -> DataFrame:
     return found.select("grp", "by", F.array_compact(F.array(own, tongue, F.when(some, F.lit("A")))).alias("pools"))
 
 
+def _judged(rows: DataFrame, by: DataFrame, params: DataFrame, tail: float) -> DataFrame:
+    """rows of vectors() with base_failed, distance and kept."""
+    out = _meet(_meet(rows, by.select("grp", "by")).drop("grp").withColumnRenamed("by", "grp"), params).withColumn("distance", _distance("a"))
+    out = out.withColumn("base_failed", F.expr(LIMITS))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= chi2_tail(tail, P)))
+
+
+def _learned(docs: DataFrame, share: float, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored vectors of docs, their groups' pools, and the pools' estimates."""
+    stats = materialize(vectors(statistics(pick(docs, "doc_id", "text", "lang", "source"), "lang", "source")), "stats")
+    by = pools(stats, least)
+    into = materialize(_meet(stats, by).select(F.explode("pools").alias("grp"), "salt", *VECTOR), "pooled")
+    return stats, by, estimates(into, share)
+
+
 def judge(docs: DataFrame, share: float = SHARE, tail: float = TAIL, least: int = LEAST) -> DataFrame:
     """doc_id, the base counts, base_failed, distance (squared), kept."""
-    stats = materialize(vectors(statistics(pick(docs, "doc_id", "text", "lang", "source"), "lang", "source")), "stats")
-    stats = materialize(_meet(stats, pools(stats, least)), "pooled")
-    params = estimates(stats.withColumn("grp", F.explode("pools")), share)
-    limit = chi2_tail(tail, P)
-    out = _meet(stats.withColumn("grp", F.col("by")), params, "left").withColumn("distance", _distance("a"))
-    out = out.withColumn("base_failed", F.expr(LIMITS))
-    return out.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= limit)).alias("kept"), "distance",
-    )
+    out = _judged(*_learned(docs, share, least), tail)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
+def kept(docs: DataFrame, share: float = SHARE, tail: float = TAIL, least: int = LEAST) -> DataFrame:
+    """The rows of docs that judge() keeps, whatever their doc_ids: each row's statistics are counted again beside it."""
+    _, by, params = _learned(docs, share, least)
+    names = [c for c in docs.columns if c not in ("doc_id", "text")] + ["whole"]
+    rows = vectors(statistics(docs.withColumn("whole", F.col("text")), *names))
+    return _judged(rows, by, params, tail).filter("kept").withColumnRenamed("whole", "text").select(*docs.columns)
 
 
 def query(docs: DataFrame) -> DataFrame:
