@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 import os
 import re
 import tempfile
@@ -14,28 +13,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch. Texts can be long, so that a batch stays some MB.
-BATCH_ROWS = 256
+#: Bytes of an Arrow batch, which has one row at least. Texts can be long, so that rows alone bound nothing.
+BATCH_BYTES = "4m"
 
 _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), one of our own for this application."""
+    """The folder in spark.checkpoint.dir. Only where that is unset and all runs on one machine (tests), one of our own for this application."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="marlspark-")
-    return _own_dirs[app]
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if context.applicationId not in _own_dirs:
+        _own_dirs[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="marlspark-")
+    return _own_dirs[context.applicationId]
+
+
+def _store(spark: SparkSession, path: str):
+    """The path and the file system that has it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder. The JVM removes it when the application ends."""
-    context = spark.sparkContext
-    where = context._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{context.applicationId}/{name}-{uuid.uuid4().hex}")
-    store = where.getFileSystem(context._jsc.hadoopConfiguration())
+    """A new path in the shared folder. The JVM removes it when the application ends, where drop() hasn't before."""
+    where, store = _store(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}")
     store.deleteOnExit(where)
     # with its scheme, also where the setting has none: Spark and Files must mean the same store
     return store.makeQualified(where).toString()
@@ -45,24 +50,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and reread it: cuts the lineage and fixes the rows against recomputation."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches for columns of long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def drop(spark: SparkSession, *tables: DataFrame | str) -> None:
+    """Remove materialized tables, or folders, that nothing reads any more."""
+    for t in tables:
+        where, store = _store(spark, t if isinstance(t, str) else t.stored_at)
+        store.delete(where, True)
+        store.cancelDeleteOnExit(where)
 
 
-@contextlib.contextmanager
-def wide_batches(spark: SparkSession, rows: int = 1 << 15):
-    """Larger Arrow batches for narrow columns, in what runs inside."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+def bounded(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, unless the session has a bound already."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, BATCH_BYTES)
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
@@ -75,7 +80,7 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 
 def documents(df: DataFrame, *more: str) -> DataFrame:
     """doc_id and text, with null texts as they are."""
-    small_batches(df.sparkSession)
+    bounded(df.sparkSession)
     return pick(df, "doc_id", "text", *more)
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import near_copies
-from .common import documents, fresh_path, map_texts, materialize, wide_batches
+from .common import documents, fresh_path, map_texts, materialize
 
 BITS = 64
 SEED = 42
@@ -281,8 +281,7 @@ def linked_prints(docs: DataFrame, threshold: int = 4, blocks: int = 3, shingle:
     """doc_id, print, component_id for every row of docs."""
     prints = materialize(fingerprints(docs, shingle), "prints")
     points = materialize(prints.filter("doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").cast("bigint").alias("node")), "points")
-    with wide_batches(docs.sparkSession):
-        joined = components(links(points, threshold, blocks, homes))
+    joined = components(links(points, threshold, blocks, homes))
     classes = points.join(joined, "node", "left").select("print", F.coalesce("component", "node").alias("component_id"))
     return prints.join(classes, "print", "left").select("doc_id", "print", "component_id")
 
@@ -297,8 +296,7 @@ def near_duplicates(docs: DataFrame, shingle: int = near_copies.SHINGLE, similar
     first = F.min_by(F.struct("file", "at", "n", "bands"), "doc_id").alias("first")
     points = found.filter("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").cast("bigint").alias("node"), first)
     points = materialize(points.select("digest", "node", "first.*"), "points")
-    with wide_batches(docs.sparkSession):
-        joined = components(near_copies.links(points, folder, similarity))
+    joined = components(near_copies.links(points, folder, similarity))
     classes = points.join(joined, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     return found.join(classes, "digest", "left").select("doc_id", "component_id")
 
