@@ -10,6 +10,22 @@ from marlspark.llm.queries import tokenizer
 PATH = tokenizer("word_bpe_49k.json")
 
 
+def test_tokens_of_every_latin_character_and_of_any_text_equal_the_library():
+    r, own, library = random.Random(1), K.Tokens(PATH), Tokenizer.from_file(PATH)
+    small = K.Tokens(PATH)
+    small.tables = {k: K._Table(6) for k in small.tables}  # they are emptied all the time
+    texts = [None, "", " ", "<|endoftext|> a<|startoftext|>b", "x" * 300 + " " + "'" * 40 + "ll", "it's we're they'll i'd 'story ''s 'r 'l 're"]
+    texts += [f"a{chr(i)}b {chr(i)} {chr(i)}{chr(i)} '{chr(i)} X{chr(i)}'s" for i in range(256)]
+    latin = "abcstrevlmdSTM'\"'\"!?.,<|>  \n\t\x1c\x85\xa0²½0123éÉßµ "
+    for pool in (latin, latin + "你好’“—éά 　﻿İ😀"):
+        texts += ["".join(r.choice(pool) for _ in range(r.randrange(60))) for _ in range(1500)]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    got = own(texts)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == want
+    assert own(texts) == got
+    assert small(texts) == got
+
+
 def _valid(rows, length):
     """Sequences without gaps, none too long."""
     bins = {}
