@@ -32,13 +32,16 @@ def parse_date(s: Column) -> Column:
 def byline_dates(text: Column) -> tuple[Column, Column]:
     """Arrays of published and updated dates in visible text.
 
-    A date with `updated` or `modified` within 20 characters is an update. Of
-    dates of one pattern that stand closer together than that, the last counts.
+    A date with `updated` or `modified` within 20 characters of the pattern's
+    match, or in it, is an update.
     """
 
     def matches(p: str) -> Column:
-        around = F.regexp_extract_all(text, F.lit(f"(?is).{{0,20}}{p}.{{0,20}}"), F.lit(0))
-        return F.transform(around, lambda m: F.struct(parse_date(F.regexp_extract(m, f"(?is){p}", 1)).alias("at"), F.lower(m).alias("near")))
+        # what stands around a match is looked at, not taken: it may hold the next one
+        around = f"(?is)(?<=(^.{{0,19}}|.{{20}}))(?:{p})(?=(.{{0,20}}))"
+        before, own, date, after = (F.regexp_extract_all(text, F.lit(around), F.lit(i)) for i in (1, 0, 2, 3))
+        every = F.arrays_zip(before.alias("before"), own.alias("own"), date.alias("date"), after.alias("after"))
+        return F.transform(every, lambda m: F.struct(parse_date(m["date"]).alias("at"), F.lower(F.concat(m["before"], m["own"], m["after"])).alias("near")))
 
     every = F.filter(F.concat(*map(matches, BYLINE_PATTERNS)), lambda d: d["at"].isNotNull())
     new = lambda d: F.contains(d["near"], F.lit("updated")) | F.contains(d["near"], F.lit("modified"))
@@ -50,22 +53,22 @@ def json_ld(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r"""(?is)<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1))
 
 
-def _json_date(body: Column, name: str) -> Column:
-    """The last top-level item's date; a graph's only where no item has one."""
-    v = F.try_parse_json(body)
-    items = [F.try_variant_get(v, f"$[{i}].{name}", "string") for i in reversed(range(10))]
-    graph = [F.try_variant_get(v, f"$['@graph'][{i}].{name}", "string") for i in range(10)]
-    return F.coalesce(F.try_variant_get(v, f"$.{name}", "string"), *items, *graph)
+def json_ld_items(html: Column) -> Column:
+    """All items of all the page's JSON-LD scripts, in order, as variants. What isn't JSON has none."""
+    parsed = F.filter(F.transform(json_ld(html), lambda b: F.try_parse_json(b)), lambda v: v.isNotNull())
+    return F.flatten(F.transform(parsed, lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))))
 
 
 def json_ld_dates(html: Column) -> tuple[Column, Column]:
-    """Published and updated by JSON-LD; later scripts win."""
+    """Published and updated by JSON-LD: of the items' own dates the last; the first of a graph only where no item has one."""
+    items = json_ld_items(html)
+    graphs = F.flatten(F.filter(F.transform(items, lambda v: F.try_variant_get(v, "$['@graph']", "array<variant>")), lambda g: g.isNotNull()))
 
-    def last(name: str) -> Column:
-        dates = F.filter(F.transform(json_ld(html), lambda b: parse_date(_json_date(b, name))), lambda d: d.isNotNull())
-        return F.try_element_at(dates, F.lit(-1))
+    def found(name: str) -> Column:
+        dates = lambda of: F.filter(F.transform(of, lambda v: parse_date(F.try_variant_get(v, f"$.{name}", "string"))), lambda d: d.isNotNull())
+        return F.coalesce(F.try_element_at(dates(items), F.lit(-1)), F.get(dates(graphs), 0))
 
-    return last("datePublished"), last("dateModified")
+    return found("datePublished"), found("dateModified")
 
 
 def meta_content(html: Column, name: str) -> Column:

@@ -101,16 +101,24 @@ def features(html: Column) -> Column:
 
 
 def structured_data(html: Column) -> Column:
-    """has_jsonld, has_opengraph, has_microdata, article_type, author, date."""
-    from .dates import json_ld
-
-    bodies = json_ld(html)
-    v = F.try_parse_json(F.get(bodies, 0))
+    """has_jsonld, has_opengraph, has_microdata, article_type, author, date.
+
+    The last article item among all JSON-LD items gives the last three. Where it
+    has no author, OpenGraph gives author and date, if the page has any OpenGraph.
+    """
+    from .dates import json_ld_items
+
+    items, has_og = json_ld_items(html), html.rlike(r"""(?i)property=["']og:""")
+    kind = lambda v: F.try_variant_get(v, "$['@type']", "string")
+    item = F.try_element_at(F.filter(items, lambda v: F.contains(kind(v), F.lit("Article"))), F.lit(-1))
+    # an author who is an object has a name or none; else the author is a text
+    own = F.when(F.try_variant_get(item, "$.author", "map<string,variant>").isNotNull(), F.try_variant_get(item, "$.author.name", "string")).otherwise(F.try_variant_get(item, "$.author", "string"))
+    own = F.nullif(own, F.lit(""))
+    graph = own.isNull() & has_og
     return F.struct(
-        (F.size(bodies) > 0).alias("has_jsonld"), html.rlike(r"""(?i)property=["']og:""").alias("has_opengraph"), html.rlike(r"(?i)\sitemscope").alias("has_microdata"),
-        F.coalesce(F.try_variant_get(v, "$['@type']", "string"), meta_content(html, "og:type")).alias("article_type"),
-        F.coalesce(F.try_variant_get(v, "$.author.name", "string"), F.try_variant_get(v, "$.author", "string"), meta_content(html, "author")).alias("author"),
-        F.try_variant_get(v, "$.datePublished", "string").alias("date"),
+        (F.size(items) > 0).alias("has_jsonld"), has_og.alias("has_opengraph"), html.rlike(r"(?i)\sitemscope").alias("has_microdata"), kind(item).alias("article_type"),
+        F.when(graph, meta_content(html, "og:article:author")).otherwise(own).alias("author"),
+        F.when(graph, meta_content(html, "og:article:published_time")).otherwise(F.try_variant_get(item, "$.datePublished", "string")).alias("date"),
     )
 
 
@@ -136,7 +144,9 @@ def sitemap_lastmod(xml: Column, url: Column) -> Column:
 def feed_date(xml: Column, url: Column) -> Column:
     """The date of a feed's entry for a URL: updated, else published."""
     entries = F.regexp_extract_all(xml, F.lit(r"(?is)<(?:item|entry)[ >].*?</(?:item|entry)>"), F.lit(0))
-    hit = F.get(F.filter(entries, lambda e: F.contains(e, url)), 0)
+    # the whole URL: between quotes or tags, not the beginning of a longer one
+    links = lambda e: F.transform(F.regexp_extract_all(e, F.lit(r"""(?is)(?:>|["'])\s*(https?://[^\s<"']+)\s*(?=[<"'])"""), F.lit(1)), lambda u: F.regexp_replace(u, "/+$", ""))
+    hit = F.get(F.filter(entries, lambda e: F.array_contains(links(e), F.regexp_replace(F.trim(url), "/+$", ""))), 0)
     tag = lambda *names: F.coalesce(*[F.nullif(F.trim(F.regexp_extract(hit, rf"(?is)<{n}>(.*?)</{n}>", 1)), F.lit("")) for n in names])
     raw = F.coalesce(tag("updated", "dc:date"), tag("published", "pubDate"))
     return F.coalesce(F.try_to_timestamp(raw), F.try_to_timestamp(F.regexp_extract(raw, r"(\d{1,2} \w{3} \d{4} \d\d:\d\d:\d\d)", 1), F.lit("d MMM yyyy HH:mm:ss")))

@@ -9,6 +9,7 @@ from .text import WIRES, sentences, wire_hits, word_count, words
 
 #: The rubric's patterns and names.
 CLICKBAIT = (r"you won't believe", "shocking", "what happened next", "this is why", r"number \d+ will shock you", "doctors hate")
+HEADLINES = (r"you won't believe", "shocking", "what happened next", r"number \d+ will", "doctors hate", r"\d+ tricks", "this one weird")
 ROUNDUP = (r"top \d+", r"\d+ things", r"\d+ ways", r"\d+ reasons", "roundup", r"best of \d{4}", "what you need to know")
 AFFILIATE = ("/go/", "ref=", "utm_", "aff_", "affiliate", "track=")
 TRUSTED = (".edu", "stanford.edu", "mit.edu", "harvard.edu", "berkeley.edu", "reuters.com", "bloomberg.com", "bbc.com", "theguardian.com", "nature.com", "science.org", "arxiv.org")
@@ -113,31 +114,55 @@ def ellipsis_points(t: Column) -> Column:
 
 
 def schema_points(html: Column, article: Column) -> Column:
-    og = html.rlike(r"""(?is)<meta[^>]*property=["']og:type["'][^>]*content=["']article["']""")
-    return F.when(article, 20).otherwise(0) + F.when(og, 15).otherwise(0)
+    """An article by JSON-LD, else by OpenGraph."""
+    from .dates import meta_content
+
+    return F.when(article, 20).when(F.contains(F.lower(meta_content(html, "og:type")), F.lit("article")), 15).otherwise(0)
 
 
 def is_article(html: Column) -> Column:
-    """A JSON-LD script of an article type."""
-    from .dates import json_ld
+    """A JSON-LD item of an article type, in any script."""
+    from .dates import json_ld_items
+
+    return F.exists(json_ld_items(html), lambda v: F.coalesce(F.contains(F.try_variant_get(v, "$['@type']", "string"), F.lit("Article")), F.lit(False)))
+
+
+def element_value(html: Column, tags: tuple[str, ...], attribute: str, value: str, *first: str) -> Column:
+    """Of the first of these elements with an attribute that matches: the first attribute of `first` and content that isn't empty, else its text."""
+    mark = rf"""(?:\s|\s[^>]*\s){attribute}=["'](?:{value})["'][^>]*>"""
+    found = F.regexp_extract(html, "(?is)" + "|".join(f"<{t}{mark}" + ("" if t == "meta" else f".*?</{t}>") for t in tags), 0)
+    of = lambda a: F.nullif(F.trim(F.regexp_extract(found, rf"""(?is)^<[^>]*\s{a}=["']([^"']*)["']""", 1)), F.lit(""))
+    inner = F.trim(F.regexp_replace(F.regexp_replace(found, r"(?s)<[^>]*>", " "), r"(?U)\s+", " "))
+    return F.coalesce(*[of(a) for a in (*first, "content")], inner)
 
-    kinds = ("Article", "NewsArticle", "BlogPosting", "ScholarlyArticle", "Report")
 
-    def kind(b: Column) -> Column:
-        v = F.try_parse_json(b)
-        return F.coalesce(F.try_variant_get(v, "$['@type']", "string"), F.try_variant_get(v, "$[0]['@type']", "string"), F.lit(""))
+#: Where authors and dates stand in pages, as (attribute, pattern of its value), in order.
+AUTHORS = (("class", "[^\"']*(?:author|byline|writer)[^\"']*"), ("rel", "author"), ("itemprop", "author"), ("name", "author"))
+DATES = (("itemprop", "datePublished"), ("property", "article:published_time"), ("name", "article:published_time"), ("name", "publishdate"), ("class", "[^\"']*(?:date|time|publish)[^\"']*"))
 
-    return F.exists(json_ld(html), lambda b: kind(b).isin(*kinds))
 
+def byline_points(html: Column) -> Column:
+    """An author of two words or more, one of them capitalised, in one of the usual places."""
 
-def byline_points(author: Column) -> Column:
-    """An author of two words or more, one of them capitalised."""
-    w = words(F.coalesce(author, F.lit("")))
-    return F.when((F.size(w) >= 2) & F.exists(w, lambda x: x.rlike(r"^\p{Lu}")), 10).otherwise(0)
+    def named(author: Column) -> Column:
+        w = words(author)
+        return (F.size(w) >= 2) & F.exists(w, lambda x: x.rlike(r"^\p{Lu}"))
 
+    hit = F.lit(False)
+    for attribute, value in AUTHORS:
+        hit = hit | named(element_value(html, ("span", "div", "p", "a", "meta"), attribute, value))
+    return F.when(hit, 10).otherwise(0)
 
-def recent_points(published: Column, as_of: Column) -> Column:
-    return F.when(published >= as_of - F.expr("INTERVAL 730 DAYS"), 10).otherwise(0)
+
+def recent_points(html: Column, as_of: Column) -> Column:
+    """A date not older than two years in one of the usual places: ISO before a T, else the first ten characters by the usual formats."""
+    since, hit = as_of - F.expr("INTERVAL 730 DAYS"), F.lit(False)
+    for attribute, value in DATES:
+        raw = element_value(html, ("time", "span", "div", "meta"), attribute, value, "datetime")
+        iso = F.try_to_timestamp(F.substring_index(raw, "T", 1), F.lit("yyyy-MM-dd"))
+        written = F.coalesce(*[F.try_to_timestamp(F.substring(raw, 1, 10), F.lit(f)) for f in ("yyyy-MM-dd", "yyyy/MM/dd", "MMMM d, yyyy", "d MMMM yyyy", "yyyy")])
+        hit = hit | F.coalesce(F.when(F.contains(raw, F.lit("T")), iso).otherwise(written) >= since, F.lit(False))
+    return F.when(hit, 10).otherwise(0)
 
 
 def canonical_points(canonical_host: Column, own_host: Column) -> Column:
@@ -233,6 +258,11 @@ def nlp_score(jsonld: Column, opengraph: Column, article: Column, news: Column,
     return clamp(50 + add(jsonld, 15) + add(opengraph, 5) + add(article, 10) + add(news, 10) + add(spam, -15) + add(caps, -10) - 5 * clickbait + add(marks > 2, -5) + readable + add(wire, -10) + size)
 
 
+def headline_hits(title: Column) -> Column:
+    """How many of the second rubric's headline patterns a title has."""
+    return sum((F.lower(title).rlike(p).cast("int") for p in HEADLINES), F.lit(0))
+
+
 def blend(heuristic: Column, nlp: Column) -> Column:
     """Weighted 7 to 3 and truncated."""
     return (heuristic * F.lit(0.7) + nlp * F.lit(0.3)).cast("int")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 SPACES = r"(?U)\s+"
 
 #: Quotes and dashes and what stands for them.
-QUOTES = {"‘": "'", "’": "'", "‚": "'", "‛": "'", "“": '"', "”": '"', "„": '"', "‟": '"', "′": "'", "″": '"', "‹": "'", "›": "'"}
+QUOTES = {"‘": "'", "’": "'", "‚": "'", "‛": "'", "“": '"', "”": '"', "„": '"', "‟": '"', "′": "'", "″": '"', "«": '"', "»": '"'}
 DASHES = {"–": "-", "—": "-", "―": "-", "−": "-"}
 #: News services, by where they are looked for.
 WIRES = ("reuters", "ap news", "associated press", "bloomberg", "afp", "agence france-presse")
@@ -62,8 +62,8 @@ def remove_orphaned_hyphens(t: Column) -> Column:
 
 
 def normalize_line_breaks(t: Column, source: str = "html") -> Column:
-    """At most one empty line in a row, two in texts from PDF files."""
-    return F.regexp_replace(t, r"\n{4,}" if source == "pdf" else r"\n{3,}", "\n\n\n" if source == "pdf" else "\n\n")
+    """At most one empty line in a row; in texts from PDF files two stay, and only more become one."""
+    return F.regexp_replace(t, r"\n{4,}" if source == "pdf" else r"\n{3,}", "\n\n")
 
 
 def remove_wiki_edit_markers(t: Column) -> Column:
@@ -113,20 +113,8 @@ def clean_for_embedding(t: Column) -> Column:
 
 def join_broken_lines(t: Column) -> Column:
     """Lines joined until one ends a sentence (.!?;:); an empty line ends a paragraph."""
-    ends = r"[.!?;:]$"
-    state = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("line"))
-
-    def step(a: Column, x: Column) -> Column:
-        s = F.trim(x)
-        joined = F.when(a["line"] == "", s).otherwise(F.concat(a["line"], F.lit(" "), s))
-        flushed = F.when(a["line"] == "", a["out"]).otherwise(F.array_append(a["out"], a["line"]))
-        return (
-            F.when(s == "", F.struct(flushed.alias("out"), F.lit("").alias("line")))
-            .when(s.rlike(ends), F.struct(F.array_append(a["out"], joined).alias("out"), F.lit("").alias("line")))
-            .otherwise(F.struct(a["out"].alias("out"), joined.alias("line")))
-        )
-
-    return F.array_join(F.aggregate(F.split(t, "\n"), state, step, lambda a: F.when(a["line"] == "", a["out"]).otherwise(F.array_append(a["out"], a["line"]))), "\n")
+    lines = F.regexp_replace(F.array_join(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), "\n"), r"^\n+|\n+$", "")
+    return F.regexp_replace(F.regexp_replace(lines, r"(?<![.!?;:\n])\n(?!\n)", " "), r"\n+", "\n")
 
 
 def sample_text(t: Column, start: int = 5000, middle: int = 3000, end: int = 2000) -> Column:

@@ -97,3 +97,73 @@ def cached_search(asked: DataFrame, cached: DataFrame, as_of: Column, hours: Col
     c = cached.withColumnRenamed("settings", "s").withColumnRenamed("query", "q")
     hit = asked.join(c, (F.col("query") == F.col("q")) & (F.col("settings") == F.col("s")) & (age_days(as_of, F.col("at")) * 24 <= hours))
     return hit.groupBy("id").agg(F.max(F.struct("at", "query_id"))["query_id"].alias("query_id"))
+
+
+def start_searches(asked: DataFrame, as_of: Column) -> DataFrame:
+    """Rows to append for asked (query_id, query, settings: map): the query normalised, the settings as JSON with sorted keys."""
+    from ..functions.text import normalize_query
+
+    return asked.select("query_id", normalize_query(F.col("query")).alias("query"), F.to_json(F.map_from_entries(F.array_sort(F.map_entries("settings")))).alias("settings"), as_of.alias("at"))
+
+
+def save_analyses(searches: DataFrame, analyses: DataFrame) -> DataFrame:
+    """searches with the analysis of those in analyses (query_id, analysis, n_analysed); the rest keep what they have."""
+    new = analyses.select("query_id", F.col("analysis").alias("_a"), F.col("n_analysed").alias("_n"))
+    j = searches.join(new, "query_id", "left")
+    keep = [c for c in searches.columns if c not in ("analysis", "n_analysed")]
+    return j.select(*keep, F.coalesce("_a", "analysis").alias("analysis"), F.coalesce("_n", "n_analysed").alias("n_analysed"))
+
+
+def record_fetches(store: DataFrame, fetched: DataFrame) -> DataFrame:
+    """The fetch history (url, content_hash, fetched_at, n_bytes) with fetched (url, html, fetched_at) behind it."""
+    from ..functions.text import html_content_hash
+
+    new = fetched.select("url", html_content_hash(F.col("html")).alias("content_hash"), "fetched_at", F.octet_length(F.coalesce("html", F.lit(""))).alias("n_bytes"))
+    return store.unionByName(new)
+
+
+def cached_analyses(fetches: DataFrame, analyses: DataFrame, versions: dict[str, str]) -> DataFrame:
+    """Of each URL the newest analysis of its newest content by the same versions: fetches (url, content_hash, fetched_at), analyses (url, content_hash, created_at, analysis_id and a column for each version)."""
+    now = fetches.groupBy("url").agg(F.max_by("content_hash", F.struct("fetched_at", "content_hash")).alias("content_hash"))
+    same = analyses
+    for name, value in versions.items():
+        same = same.filter(F.col(name) == value)
+    hit = same.join(now, ["url", "content_hash"])
+    return hit.groupBy("url", "content_hash").agg(F.max_by("analysis_id", F.struct("created_at", "analysis_id")).alias("analysis_id"))
+
+
+def latest_decisions(urls: DataFrame, processed: DataFrame, as_of: Column) -> DataFrame:
+    """What to do with urls that were processed (url, status, processed_at, proc_id): the decision over the latest row. A URL without any has none."""
+    last = processed.groupBy("url").agg(F.max_by(F.struct("status", "processed_at"), F.struct("processed_at", "proc_id")).alias("l"))
+    return urls.join(last, "url").select("url", "l.status", "l.processed_at", skip_decision(F.col("l.status"), F.col("l.processed_at"), as_of).alias("decision"))
+
+
+def look_up(asked: DataFrame, cached: DataFrame, as_of: Column, ttl_hours: Column, threshold: float = 98) -> DataFrame:
+    """id, query_id, score: the exact hit of an asked query within its time to live; for the rest the best fuzzy one."""
+    from .fuzzy import best_matches
+
+    exact = cached_search(asked, cached, as_of, ttl_hours).select("id", "query_id", F.lit(100).alias("score"))
+    fresh = cached.filter(F.unix_timestamp(as_of) - F.unix_timestamp("at") <= ttl_hours * 3600)
+    rest = asked.join(exact.select("id"), "id", "left_anti")
+    fuzzy = best_matches(rest.select("id", "query"), fresh.select(F.col("query_id").alias("id"), "query"), threshold)
+    return exact.unionByName(fuzzy.select("id", F.col("match_id").alias("query_id"), "score"))
+
+
+def quality_scores(rows: DataFrame) -> DataFrame:
+    """The fields of stored scores (proc_id, scores: JSON, content): missing ones are 0, words are counted where none are stored, and a class follows from the score."""
+    s = F.from_json("scores", "heuristic_score int, nlp_score int, final_score int, word_count int, quality_class string")
+    n = F.coalesce("s.word_count", F.lit(0))
+    counted = F.size(F.filter(F.split("content", r"(?U)\s+"), lambda w: w != ""))
+    zero = lambda c: F.coalesce(f"s.{c}", F.lit(0))
+    score = zero("final_score")
+    own = F.when(score >= 70, "legit").when(score >= 40, "maybe").otherwise("skip")
+    return rows.withColumn("s", s).select(
+        "proc_id", zero("heuristic_score").alias("heuristic_score"), zero("nlp_score").alias("nlp_score"), score.alias("final_score"),
+        F.when((n == 0) & (F.col("content") != ""), counted).otherwise(n).alias("word_count"), F.coalesce(F.nullif("s.quality_class", F.lit("")), own).alias("quality_class"),
+    )
+
+
+def merge_by_index(cached: DataFrame, processed: DataFrame) -> DataFrame:
+    """Results that were cached and those that were processed, without heavy columns, in the order they were asked in."""
+    heavy = ("full_extraction", "document", "pages", "chunks")
+    return cached.drop(*heavy).unionByName(processed.drop(*heavy), allowMissingColumns=True).orderBy("index")

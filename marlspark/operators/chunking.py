@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,16 +39,35 @@ def split_chunks(docs: DataFrame, key: str, text: str = "text", heading: str | N
     return d.select(key, F.concat(F.lit("cs"), F.col("_k") + 1).alias("chunk_id"), F.col("_start").alias("start"), F.concat(lead, part).alias("chunk"), F.length(part).alias("n_chars"))
 
 
-def chunk_numbers(sizes: Column, most: int = 1000) -> Column:
+def packed(sizes: list[int], most: int) -> list[int]:
     """Greedy packing of sizes in order: the chunk of each, a new one where the sum would pass `most`."""
-    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("sum"), F.lit(0).alias("at"))
+    out, total, at = [], 0, 0
+    for n in sizes:
+        if total and total + n > most:
+            at, total = at + 1, 0
+        total += n
+        out.append(at)
+    return out
+
+
+def merged(sizes: list[int], least: int) -> list[int]:
+    """Groups of sizes in order so that each sums to `least`: a small one takes the next, the last goes to the one before."""
+    out, total, at = [], 0, 0
+    for n in sizes:
+        if total >= least:
+            at, total = at + 1, 0
+        total += n
+        out.append(at)
+    return [min(g, at - 1) for g in out] if total < least and at else out
+
 
-    def step(a: Column, n: Column) -> Column:
-        full = (a["sum"] > 0) & (a["sum"] + n > most)
-        at = F.when(full, a["at"] + 1).otherwise(a["at"])
-        return F.struct(F.array_append(a["out"], at).alias("out"), F.when(full, n).otherwise(a["sum"] + n).alias("sum"), at.alias("at"))
+def _numbered(f, limit: int):
+    """f over a column of arrays: a running sum that starts anew is no built-in, and an aggregate would copy its array at every step."""
+    return F.pandas_udf(lambda s: s.map(lambda x: f([int(i) for i in x], limit)), "array<int>")
 
-    return F.aggregate(sizes, start, step, lambda a: a["out"])
+
+def chunk_numbers(sizes: Column, most: int = 1000) -> Column:
+    return _numbered(packed, most)(sizes)
 
 
 def pack_parts(parts: DataFrame, key: str, order: str, text: str = "text", most: int = 1000) -> DataFrame:
@@ -61,18 +81,7 @@ def pack_parts(parts: DataFrame, key: str, order: str, text: str = "text", most:
 
 
 def merge_small(sizes: Column, least: int = 500) -> Column:
-    """Groups of chunks in order so that each has `least` characters: a small one takes the next, the last goes to the one before."""
-    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("sum"), F.lit(0).alias("at"))
-
-    def step(a: Column, n: Column) -> Column:
-        full = a["sum"] >= least
-        at = F.when(full, a["at"] + 1).otherwise(a["at"])
-        return F.struct(F.array_append(a["out"], at).alias("out"), F.when(full, n).otherwise(a["sum"] + n).alias("sum"), at.alias("at"))
-
-    def last(a: Column) -> Column:
-        return F.when((a["sum"] < least) & (a["at"] > 0), F.transform(a["out"], lambda g: F.least(g, a["at"] - 1))).otherwise(a["out"])
-
-    return F.aggregate(sizes, start, step, last)
+    return _numbered(merged, least)(sizes)
 
 
 def merge_chunks(chunks: DataFrame, key: str, order: str, text: str = "chunk", least: int = 500) -> DataFrame:
@@ -88,3 +97,82 @@ def sections(blocks: DataFrame, doc: str, order: list[str], heading: Column) ->
     """Numbers each document's blocks by section: a new one begins at every heading; what is before the first is section 0."""
     w = Window.partitionBy(doc).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return blocks.withColumn("section_id", F.sum(F.when(heading, 1).otherwise(0)).over(w))
+
+
+def _islands(blocks: DataFrame, within: list[str], order: list[str], heading: Column, doc: list[str]) -> DataFrame:
+    """blocks with `island`: a new one begins with the first block of `within`, and at a heading that follows content."""
+    w = Window.partitionBy(*within).orderBy(*order)
+    begins = F.lag(heading).over(w).isNull() | (heading & ~F.lag(heading).over(w))
+    every = Window.partitionBy(*doc).orderBy(*dict.fromkeys([*within, *order])).rowsBetween(Window.unboundedPreceding, 0)
+    return blocks.withColumn("_begins", begins).withColumn("island", F.sum(F.col("_begins").cast("int")).over(every)).drop("_begins")
+
+
+def _in_order(order: list[str], keep: Column, text: str = "text") -> Column:
+    """The texts of a group's rows that `keep` holds for, in order."""
+    return F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct(*order, F.col(text).alias("t"))))), lambda x: x["t"])
+
+
+def page_chunks(blocks: DataFrame, headings: tuple[str, ...] = ("title", "h1", "h2", "h3", "h4"), content: tuple[str, ...] = ("body", "subtext")) -> DataFrame:
+    """Chunks of pages from blocks (doc_id, page_no, block_no, type, text): headings and what follows them up to the next heading.
+
+    Chunks of headings alone give them to the next chunk with content, on
+    whatever page; what is left over at the end stands alone. Headers and footers
+    are no blocks here. A group is one document's blocks.
+    """
+    b = blocks.filter(F.col("type").isin(*headings, *content))
+    head = F.col("type").isin(*headings)
+    order = ["page_no", "block_no"]
+    c = _islands(b, ["doc_id", "page_no"], ["block_no"], head, ["doc_id"]).groupBy("doc_id", "island").agg(
+        F.min("page_no").alias("page_no"), _in_order(order, head).alias("headings"), F.array_join(F.transform(_in_order(order, ~head), lambda t: F.concat(t, F.lit("\n"))), "").alias("content"),
+    )
+    full = F.trim(F.regexp_replace("content", "\n", " ")) != ""
+    before = Window.partitionBy("doc_id").orderBy("island").rowsBetween(Window.unboundedPreceding, -1)
+    g = c.withColumn("chunk_no", F.coalesce(F.sum(full.cast("int")).over(before), F.lit(0)) + 1).withColumn("full", full)
+    joined = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("island", "headings"))), lambda x: x["headings"]))
+    return g.groupBy("doc_id", "chunk_no").agg(
+        F.coalesce(F.max(F.when(F.col("full"), F.col("page_no"))), F.max("page_no")).alias("page_no"), joined.alias("headings"), F.coalesce(F.max(F.when(F.col("full"), F.col("content"))), F.lit("")).alias("content"),
+    )
+
+
+def header_sections(blocks: DataFrame, headers: tuple[str, ...] = ("title", "heading1", "heading2", "heading3", "heading4"), bodies: tuple[str, ...] = ("paragraph", "subtext")) -> DataFrame:
+    """Sections of documents from blocks (doc_id, page_no, block_no, type, text): a stack of headers, and the text up to the header after it."""
+    b = blocks.filter(F.col("type").isin(*headers, *bodies))
+    head, order = F.col("type").isin(*headers), ["page_no", "block_no"]
+    s = _islands(b, ["doc_id"], order, head, ["doc_id"])
+    return s.groupBy("doc_id", F.col("island").alias("section_id")).agg(_in_order(order, head).alias("headers"), F.array_join(_in_order(order, ~head), " ").alias("section_text"), F.count_if(~head).alias("n_blocks"))
+
+
+def cut_at_spaces(text: str | None, most: int = 1000) -> list[tuple[int, int, str]]:
+    """(start, end, trimmed text) of stretches of at most `most` characters that end after a space where they have one; blank ones are left out."""
+    out, at, text = [], 0, text or ""
+    while at < len(text):
+        end = min(at + most, len(text))
+        if end < len(text) and (space := text.rfind(" ", at, end)) > at:
+            end = space + 1
+        if part := text[at:end].strip():
+            out.append((at, end, part))
+        at = end
+    return out
+
+
+def space_chunks(docs: DataFrame, key: str, text: str = "text", most: int = 1000) -> DataFrame:
+    """key, char_start, char_end, chunk."""
+    kind = "array<struct<char_start:int,char_end:int,chunk:string>>"
+
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: [{"char_start": a, "char_end": z, "chunk": c} for a, z, c in cut_at_spaces(t, most)])
+
+    return docs.select(key, F.explode(F.pandas_udf(run, kind)(F.col(text))).alias("c")).select(key, "c.*")
+
+
+def chunk_list(nested: DataFrame, key: str, content: str = "content") -> DataFrame:
+    """Chunks of a document's content, an array of sections (chunks: array of (chunk_id, char_count, blocks: array of (text))): blocks joined, blank chunks left out."""
+    c = nested.select(key, F.explode(F.flatten(F.transform(content, lambda s: F.coalesce(s["chunks"], F.array())))).alias("c"))
+    t = F.trim(F.array_join(F.transform("c.blocks", lambda b: F.coalesce(b["text"], F.lit(""))), " "))
+    c = c.select(key, "c.chunk_id", t.alias("text"), "c.char_count").filter("text <> ''")
+    return c.select(key, "chunk_id", "text", F.size(words(F.col("text"))).alias("n_words"), F.coalesce("char_count", F.length("text")).alias("n_chars"))
+
+
+def page_union(a: Column, b: Column) -> Column:
+    """Page numbers of merged chunks: each once, in order."""
+    return F.array_sort(F.array_union(a, b))

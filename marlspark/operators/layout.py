@@ -137,3 +137,34 @@ def fingerprint(title: Column, author: Column, date: Column, size: Column) -> Co
     """SHA-256 of title, author, date and size."""
     part = lambda c: F.coalesce(F.lower(F.trim(c.cast("string"))), F.lit(""))
     return F.sha2(F.concat_ws("|", part(title), part(author), part(date), part(size)), 256)
+
+
+def page_texts(spans: DataFrame) -> DataFrame:
+    """Each page's text, its spans in order, with counts of characters, words and spans."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("span_no", "text"))), lambda x: x["text"])
+    p = spans.groupBy("doc_id", "page_no").agg(F.array_join(parts, " ").alias("text"), F.count(F.lit(1)).alias("n_spans"))
+    return p.select("doc_id", "page_no", "text", F.length("text").alias("n_chars"), F.size(F.filter(F.split("text", r"(?U)\s+"), lambda w: w != "")).alias("n_words"), "n_spans")
+
+
+def header_footer(blocks: DataFrame, margin: float = 8.0, recurrence: float = 60.0, single_pages: bool = True) -> DataFrame:
+    """blocks (doc_id, page_no, block_no, text, bbox: x0 y0 x1 y1 or null) with is_header_footer.
+
+    A block is one within `margin` per cent of the page's height from top or
+    bottom, or with a text on `recurrence` per cent of the pages. The height is
+    that of the first box on the first three pages, and 50 points; without any,
+    792. In a document of one page every text recurs; single_pages=False leaves
+    recurrence out there.
+    """
+    box = F.size("bbox") == 4
+    first = blocks.filter((F.col("page_no") <= 3) & box).groupBy("doc_id").agg(F.min_by("bbox", F.struct("page_no", "block_no")).alias("box"))
+    pages = blocks.groupBy("doc_id").agg(F.count_distinct("page_no").alias("n_pages")).join(first, "doc_id", "left")
+    pages = pages.select("doc_id", "n_pages", F.coalesce(F.greatest(F.col("box")[1], F.col("box")[3]) + 50, F.lit(792.0)).alias("height"))
+    t = F.trim("text")
+    seen = blocks.filter(t != "").groupBy("doc_id", t.alias("line")).agg(F.count_distinct("page_no").alias("on_pages"))
+    b = blocks.withColumn("line", t).join(pages, "doc_id").join(seen, ["doc_id", "line"], "left")
+    edge = F.col("height") * margin / 100
+    at_edge = F.coalesce(box & ((F.col("bbox")[1] <= edge) | (F.col("bbox")[3] >= F.col("height") - edge)), F.lit(False))
+    again = F.col("on_pages") >= F.col("n_pages") * recurrence / 100
+    if not single_pages:
+        again = again & (F.col("n_pages") > 1)
+    return b.select("doc_id", "page_no", "block_no", "text", ((t != "") & (at_edge | F.coalesce(again, F.lit(False)))).alias("is_header_footer"))

@@ -50,3 +50,8 @@ def reset_stuck(state: DataFrame) -> DataFrame:
 def lane(cached: Column, status: Column, size_mb: Column, seconds: Column, most_mb: float = 10, most_seconds: float = 6) -> Column:
     """Where a request goes: the cache, its place in the queue, the background for what is large or slow, else the fast lane."""
     return F.when(cached, "cache").when(status.isin("pending", "processing"), "queued").when(status == "failed", "failed").when((size_mb > most_mb) | (seconds > most_seconds), "background").otherwise("fast")
+
+
+def last_completed(state: DataFrame, n: int = 10) -> DataFrame:
+    """The items that were completed last. Equal times go by url."""
+    return state.filter("status = 'completed'").orderBy(F.col("updated_at").desc(), "url").limit(n)

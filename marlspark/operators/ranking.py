@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialize
+
 
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
-    """Rank from 1 by a total order: rows are sorted over range partitions, and each partition's rank starts after the rows before it.
+    """Rank from 1 by a total order: rows are dealt by range and stored, and each range's rank starts after the rows before it.
 
-    A small table fits one partition and is ranked there; larger ones add the sizes of earlier partitions, a row for each.
+    Ranges are stored with their number, as a range's bounds are sampled and
+    could differ when they are computed again. Sizes of ranges are as many rows
+    as there are partitions.
     """
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    local = ranged.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    ranged = materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    # as many rows as there are partitions
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    local = ranged.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     return local.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_local")).drop("_part", "_local", "_before")
 
 

@@ -20,10 +20,9 @@ def fingerprint(docs: DataFrame, key: str, text: str = "text", size: int = 5, ke
 
 
 def shingle_overlap(left: DataFrame, left_key: str, right: DataFrame, right_key: str, text: str = "text", size: int = 5) -> DataFrame:
-    """Pairs of keys with the number of distinct shingles that both have: an equi-join on the shingle's hash, checked on its words."""
+    """Pairs of keys with the number of distinct shingles that both have: an equi-join on the shingle's words, where the smaller side is broadcast while Spark finds it small."""
     a = left.select(left_key, F.explode(T.shingles(F.col(text), size)).alias("g"))
     b = right.select(right_key, F.explode(T.shingles(F.col(text), size)).alias("g"))
-    # only shingles of the smaller side are shuffled on
     return a.join(b, "g").groupBy(left_key, right_key).agg(F.count(F.lit(1)).alias("shared"))
 
 

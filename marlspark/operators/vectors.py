@@ -36,3 +36,34 @@ def group_hits(hits: DataFrame) -> DataFrame:
     """Hits by URL with parallel arrays in rank order."""
     g = hits.groupBy("url").agg(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), F.col("chunk_id").alias("c")))).alias("h"))
     return g.select("url", F.transform("h", lambda x: x["c"]).alias("chunk_ids"), F.transform("h", lambda x: -x["s"]).alias("scores"), F.size("h").alias("n_hits"))
+
+
+def replace_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The store (url, chunk_id, ...) after whole documents were stored anew: what a document had before is gone."""
+    return old.join(new.select("url").distinct(), "url", "left_anti").unionByName(new)
+
+
+def delete_documents(store: DataFrame, urls: DataFrame) -> DataFrame:
+    return store.join(urls.select("url").distinct(), "url", "left_anti")
+
+
+def document_chunks(store: DataFrame, url: str) -> DataFrame:
+    """One document's chunks in order."""
+    return store.filter(F.col("url") == url).orderBy("chunk_id")
+
+
+def newest(store: DataFrame, limit: int = 10_000) -> DataFrame:
+    """The newest chunks by created_at, as the search loads them. Equal times go by url and chunk_id."""
+    return store.orderBy(F.col("created_at").desc(), "url", "chunk_id").limit(limit)
+
+
+def embedding_states(old: DataFrame, events: DataFrame) -> DataFrame:
+    """url, status, updated_at, error after events (url, event: start, complete, fail; at; error). The last event counts."""
+    new = events.select("url", F.element_at(F.create_map(*[F.lit(x) for x in ("start", "processing", "complete", "completed", "fail", "failed")]), F.col("event")).alias("status"), F.col("at").alias("updated_at"), "error")
+    last = F.max_by(F.struct("status", "updated_at", "error"), F.struct("updated_at", "status"))
+    return old.select("url", "status", "updated_at", "error").unionByName(new).groupBy("url").agg(last.alias("s")).select("url", "s.*")
+
+
+def to_embed(documents: DataFrame, states: DataFrame) -> DataFrame:
+    """Documents to embed: those never embedded, and those that failed; not those in work or done."""
+    return documents.join(states.filter("status IN ('processing', 'completed')").select("url"), "url", "left_anti")

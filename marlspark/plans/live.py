@@ -43,10 +43,10 @@ def structured_data(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", H.structured_data(F.col("html")).alias("s")).select("page_id", "s.has_jsonld", "s.has_opengraph", "s.has_microdata")
 
 
-@query("SELECT doc_id, 'exact' AS match_type, instr(text, trim(substr(text, 50, 120), E' \n')) - 1 AS start_char, trim(substr(text, 50, 120), E' \n') AS matched FROM documents WHERE length(text) >= 200 AND text NOT LIKE '%|%'")
+@query()
 def chunk_alignment(spark, sf_dir):
-    """A chunk of each text, its white space changed, found again."""
-    d = table(spark, sf_dir, "documents").filter("length(text) >= 200 AND NOT contains(text, '|')")
+    """A chunk of each text, its white space changed, found again: as it is, or by the paragraphs it is in."""
+    d = table(spark, sf_dir, "documents")
     chunk = F.regexp_replace(F.substring("text", 50, 120), r"\s+", "  \n")
     m = d.select("doc_id", M.align_columns(F.col("text"), chunk).alias("m"))
     return m.select("doc_id", "m.match_type", "m.start_char", "m.matched")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import dates as D
 from ..functions import scoring as S
 from ..functions import text as T
 from ..functions import urls as U
 from ..registry import query
-from ..sources.tables import pages, table
-from .web import _SENTENCES, _TITLE, _WORDS, SQL_PAGES
+from ..sources.tables import as_of, pages, table
+from .web import _SENTENCES, _VOWELS, _WORDS, SQL_HOST, SQL_PAGES
 
 _N = f"len({_WORDS.format(t='text')})"
 
@@ -79,72 +80,171 @@ def score_url_signals(spark, sf_dir):
 
 
 _TITLE_SQL = "trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1))"
+_BLOCK_END = r"(?i)</(?:p|div|li|h[1-6]|article|section|tr|td|blockquote|title)>|<br\s*/?>"
 
 
-def html_signals(spark, sf_dir):
-    """A page's text and every signal of the rubric."""
+def page_lines(html):
+    """Visible text with a line for each block."""
+    t = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style|nav|footer|aside)[^>]*>.*?</(script|style|nav|footer|aside)>", " "), r"(?s)<!--.*?-->", " ")
+    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, T.SPACES, " "), _BLOCK_END, "\n"), "<[^>]*>", " ")
+    return F.regexp_replace(t, " +", " ")
+
+
+#: What pages of the driver's tables don't have: authors, dates, structured data, canonical URLs, teasers and loud titles, by page_id.
+_EXTRA = (
+    "", '<meta name="author" content="Jane Doe">', '<span class="byline">by <a href="/x">Ann Lee</a></span>', '<meta property="article:published_time" content="2023-11-05T10:00:00Z">',
+    '<time itemprop="datePublished" datetime="2019-01-01">long ago</time><span class="date">2023/05/06</span>',
+    '<script type="application/ld+json">{"@type":"Person"}</script><script type="application/ld+json">[{"@type":"WebPage"},{"@type":"NewsArticle","author":{"name":"Ed Poe"},"datePublished":"2023-12-24"}]</script>',
+    '<meta property="og:type" content="article"><meta property="og:article:author" content="Og Author">', "<p>A teaser of some length that is cut off...</p>" * 12,
+    '<article><a href="/go/1">x</a></article><article></article><script type="application/ld+json">{"@type":"Thing"</script>', '<article></article><article></article><div rel="author">one</div>',
+)
+_LOUD = ("<title>WHAT HAPPENED NEXT!!! ", "<title>SHOCKING NEWS OF THE DAY</title>")
+
+
+def marked_pages(spark, sf_dir):
+    """Pages with every signal of the rubrics on some."""
+    html, i = F.col("html"), F.col("page_id")
+    canonical = F.when(i % 7 == 0, F.concat(F.lit('<link rel="canonical" href="'), F.col("url"), F.lit('">'))).otherwise("")
+    loud = F.when(i % 9 == 0, F.regexp_replace(html, "<title>", _LOUD[0])).when(i % 9 == 1, F.regexp_replace(html, "<title>[^<]*</title>", _LOUD[1])).otherwise(html)
+    extra = F.element_at(F.array(*map(F.lit, _EXTRA)), (i % len(_EXTRA) + 1).cast("int"))
+    return pages(spark, sf_dir).select("page_id", "url", F.concat(loud, canonical, extra).alias("html"))
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_MARKED = f"""marked AS (SELECT page_id, url, CASE WHEN page_id % 9 = 0 THEN replace(html, '<title>', {_quoted(_LOUD[0])}) WHEN page_id % 9 = 1 THEN regexp_replace(html, '<title>[^<]*</title>', {_quoted(_LOUD[1])}) ELSE html END
+  || CASE WHEN page_id % 7 = 0 THEN '<link rel="canonical" href="' || url || '">' ELSE '' END || [{", ".join(map(_quoted, _EXTRA))}][page_id % {len(_EXTRA)} + 1] AS html FROM pages)"""
+
+
+def html_signals(p):
+    """Of pages (page_id, url, html) the text and every signal of the rubric."""
     html, u = F.col("html"), F.col("url")
-    p = pages(spark, sf_dir).select(
-        "page_id", "url", "html", page_text(html).alias("text"), F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"), S.main_region(html).alias("region"),
+    p = p.select(
+        "page_id", "url", "html", page_text(html).alias("text"), page_lines(html).alias("lines"), F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"),
+        S.main_region(html).alias("region"), S.is_article(html).alias("article"),
     )
     p = p.withColumn("n_words", T.word_count(F.col("text")))
     canonical = F.regexp_extract(html, r"""(?is)<link[^>]*rel=["']canonical["'][^>]*href=["']([^"']*)["']""", 1)
-    t, title = F.col("text"), F.col("title")
+    t, title, article = F.col("text"), F.col("title"), F.col("article")
     return p.select(
-        "page_id", U.normalize_url(u).alias("url"), "title", "n_words", T.normalize_text(t).alias("text"),
-        S.schema_points(html, S.is_article(html)).alias("schema"), S.canonical_points(U.host(canonical), U.host(u)).alias("canonical"),
+        "page_id", U.normalize_url(u).alias("url"), "title", "n_words", T.normalize_text(t).alias("text"), "html", "article",
+        S.schema_points(html, article).alias("schema"), S.byline_points(html).alias("byline"), S.recent_points(html, as_of()).alias("date"), S.canonical_points(U.host(canonical), U.host(u)).alias("canonical"),
         S.length_points(F.col("n_words")).alias("length"), S.quote_points(t).alias("quotes"), S.wire_points(t).alias("wire"), S.entity_points(t).alias("entities"),
         S.roundup_points(title).alias("roundup"), S.link_points(F.col("region"), F.col("n_words")).alias("links"), S.pagination_points(u, html).alias("pagination"),
         S.clickbait_points(title).alias("clickbait"), S.domain_points(F.lower(U.authority(u))).alias("domain"),
-        S.page_type_points(U.path(u), F.regexp_count(html, F.lit("(?i)<article[ >]")), S.is_article(html), F.col("n_words"), S.link_count(html)).alias("page_type"),
+        S.page_type_points(U.path(u), F.regexp_count(html, F.lit("(?i)<article[ >]")), article, F.col("n_words"), S.link_count(html)).alias("page_type"),
+        S.ellipsis_points(F.col("lines")).alias("snippets"),
     )
 
 
-SIGNALS = ("schema", "canonical", "length", "quotes", "wire", "entities", "roundup", "links", "pagination", "clickbait", "domain", "page_type")
+SIGNALS = ("schema", "byline", "date", "canonical", "length", "quotes", "wire", "entities", "roundup", "links", "pagination", "clickbait", "domain", "page_type", "snippets")
 
-_SIGNALS_SQL = rf"""{SQL_PAGES}, t AS (SELECT page_id, url, norm, netloc, path, html, {_TITLE_SQL} AS title, {_PLAIN} AS text FROM p),
-s AS (SELECT page_id, norm, title, {_N} AS n_words, {_length_sql(_N)} AS length, {_QUOTES} AS quotes, {_WIRE} AS wire, {_ENTITIES} AS entities,
-  CASE WHEN regexp_matches(lower(title), 'top \d+|\d+ things|\d+ ways|\d+ reasons|roundup|best of \d{{4}}|what you need to know') OR length(title) - length(translate(title, '•|', '')) > 2 THEN -5 ELSE 0 END AS roundup,
-  CASE WHEN {_HREF.format(h=_ARTICLE)} > 50 THEN -6 ELSE 0 END AS links, {_PAGED} AS pagination,
-  CASE WHEN regexp_matches(lower(title), 'you won''t believe|shocking|what happened next|this is why|number \d+ will shock you|doctors hate') THEN -3 ELSE 0 END AS clickbait,
-  {_DOMAIN} AS domain, CASE WHEN path IN ('', '/') THEN -20 WHEN {_N} < 400 AND {_HREF.format(h='html')} > 10 THEN -10 ELSE 0 END AS page_type, text FROM t),
-h AS (SELECT *, greatest(0, least(100, 50 + length + quotes + wire + entities + roundup + links + pagination + clickbait + domain + page_type)) AS heuristic FROM s)"""
 
+def _element_sql(tags: tuple[str, ...], attribute: str, value: str, *first: str) -> str:
+    mark = r"(?:\s|\s[^>]*\s)" + attribute + "=[\"''](?:" + value + ")[\"''][^>]*>"
+    found = "regexp_extract(html, '(?is)" + "|".join(f"<{t}{mark}" + ("" if t == "meta" else f".*?</{t}>") for t in tags) + "')"
+    of = [f"nullif(trim(regexp_extract({found}, '(?is)^<[^>]*\\s{a}=[\"'']([^\"'']*)[\"'']', 1)), '')" for a in (*first, "content")]
+    return f"coalesce({', '.join(of)}, trim(regexp_replace(regexp_replace({found}, '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')))"
 
-def html_scores(spark, sf_dir):
-    s = html_signals(spark, sf_dir)
-    return s.withColumn("heuristic", S.clamp(F.lit(50) + sum((F.col(c) for c in SIGNALS[1:]), F.col(SIGNALS[0]))))
 
+_AUTHORED = " OR ".join(
+    f"(len({_WORDS.format(t=x)}) >= 2 AND len(list_filter({_WORDS.format(t=x)}, lambda w: regexp_matches(w, '^\\p{{Lu}}'))) > 0)"
+    for x in (_element_sql(("span", "div", "p", "a", "meta"), a, v.replace("'", "''")) for a, v in (("class", "[^\"']*(?:author|byline|writer)[^\"']*"), ("rel", "author"), ("itemprop", "author"), ("name", "author")))
+)
+_DATED = " OR ".join(
+    f"coalesce(CASE WHEN contains({x}, 'T') THEN try_strptime(split_part({x}, 'T', 1), '%Y-%m-%d') ELSE coalesce({', '.join("try_strptime(substr(" + x + ", 1, 10), '" + f + "')" for f in ("%Y-%m-%d", "%Y/%m/%d", "%B %d, %Y", "%d %B %Y", "%Y"))}) END >= TIMESTAMP '2022-02-01', false)"
+    for x in (
+        _element_sql(("time", "span", "div", "meta"), a, v.replace("'", "''"), "datetime")
+        for a, v in (("itemprop", "datePublished"), ("property", "article:published_time"), ("name", "article:published_time"), ("name", "publishdate"), ("class", "[^\"']*(?:date|time|publish)[^\"']*"))
+    )
+)
+_BODIES = """list_filter(regexp_extract_all(html, '(?is)<script[^>]*type=["'']application/ld\\+json["''][^>]*>(.*?)</script>', 1), lambda b: json_valid(b))"""
+_IS_ARTICLE = f"""len(list_filter({_BODIES}, lambda b: contains(coalesce(json_extract_string(b, '$."@type"'), ''), 'Article') OR len(list_filter(json_extract_string(b, '$[*]."@type"'), lambda k: contains(k, 'Article'))) > 0)) > 0"""
+_CANONICAL = """regexp_extract(html, '(?is)<link[^>]*rel=["'']canonical["''][^>]*href=["'']([^"'']*)["'']', 1)"""
+_AFFILIATE = f"""len(list_filter(regexp_extract_all({_ARTICLE}, '(?i)<a\\s[^>]*href=["'']([^"'']*)["'']', 1), lambda u: regexp_matches(u, '/go/|ref=|utm_|aff_|affiliate|track=')))"""
+_OG_TYPE = """coalesce(nullif(regexp_extract(html, '(?is)<meta[^>]*(?:property|name|itemprop)=["'']og:type["''][^>]*content=["'']([^"'']*)["'']', 1), ''), '')"""
+_LINES_OF = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|nav|footer|aside)[^>]*>.*?</(script|style|nav|footer|aside)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '\s+', ' ', 'g'),
+  '(?i)</(?:p|div|li|h[1-6]|article|section|tr|td|blockquote|title)>|<br\s*/?>', chr(10), 'g'), '<[^>]*>', ' ', 'g'), ' +', ' ', 'g')"""
+
+
+def _signals_sql(source: str) -> str:
+    """CTEs up to h: every signal, and the clamped total, of a table of pages."""
+    return rf"""{SQL_PAGES.replace("FROM pages", f"FROM {source}")}, t AS (SELECT page_id, url, norm, netloc, path, html, {_TITLE_SQL} AS title, {_PLAIN} AS text, {_LINES_OF} AS lines, {_IS_ARTICLE} AS article FROM p),
+s AS (SELECT page_id, norm, title, html, article, netloc, {_N} AS n_words, CASE WHEN article THEN 20 WHEN contains(lower({_OG_TYPE}), 'article') THEN 15 ELSE 0 END AS schema,
+  CASE WHEN {_AUTHORED} THEN 10 ELSE 0 END AS byline, CASE WHEN {_DATED} THEN 10 ELSE 0 END AS date, CASE WHEN {_CANONICAL} <> '' AND {SQL_HOST.format(u=_CANONICAL)} = {SQL_HOST.format(u="url")} THEN 8 ELSE 0 END AS canonical,
+  {_length_sql(_N)} AS length, {_QUOTES} AS quotes, {_WIRE} AS wire, {_ENTITIES} AS entities,
+  CASE WHEN regexp_matches(lower(title), 'top \d+|\d+ things|\d+ ways|\d+ reasons|roundup|best of \d{{4}}|what you need to know') OR length(title) - length(translate(title, '•|', '')) > 2 THEN -5 ELSE 0 END AS roundup,
+  CASE WHEN {_HREF.format(h=_ARTICLE)} > 50 OR {_AFFILIATE} / greatest(1, {_N} // 300) > 2 THEN -6 ELSE 0 END AS links, {_PAGED} AS pagination,
+  CASE WHEN regexp_matches(lower(title), 'you won''t believe|shocking|what happened next|this is why|number \d+ will shock you|doctors hate') THEN -3 ELSE 0 END AS clickbait, {_DOMAIN} AS domain,
+  CASE WHEN path IN ('', '/') THEN -20 WHEN len(regexp_extract_all(html, '(?i)<article[ >]')) >= 3 AND NOT article THEN -15 WHEN {_N} < 400 AND {_HREF.format(h='html')} > 10 THEN -10 ELSE 0 END AS page_type,
+  {_ELLIPSIS.replace("(text,", "(lines,")} AS snippets, text FROM t),
+h AS (SELECT *, greatest(0, least(100, 50 + {" + ".join(SIGNALS)})) AS heuristic FROM s)"""
 
-@query(f"WITH {_SIGNALS_SQL} SELECT page_id, n_words, length, quotes, wire, entities, links, pagination, domain, page_type, heuristic FROM h")
-def score_html_total(spark, sf_dir):
-    return html_scores(spark, sf_dir).select("page_id", "n_words", "length", "quotes", "wire", "entities", "links", "pagination", "domain", "page_type", "heuristic")
 
+_SIGNALS_SQL = _signals_sql("pages")
 
-_NLP = r"""greatest(0, least(100, 50 + CASE WHEN regexp_matches(netloc, 'news|post|times|journal|tribune|herald|gazette|daily') THEN 10 ELSE 0 END - CASE WHEN regexp_matches(netloc, 'promo|deals|buy|shop|discount|cheap') THEN 15 ELSE 0 END
-  + CASE WHEN n_words > 5000 THEN 20 WHEN n_words > 2000 THEN 15 WHEN n_words > 1000 THEN 10 WHEN n_words > 300 THEN 5 ELSE 0 END))"""
 
+def html_scores(p):
+    s = html_signals(p)
+    return s.withColumn("heuristic", S.clamp(F.lit(50) + sum((F.col(c) for c in SIGNALS[1:]), F.col(SIGNALS[0]))))
 
-def nlp_scores(spark, sf_dir):
-    """The second rubric, without readability and titles: they need no more than its function's other arguments."""
-    host, no = U.host(F.col("url")), F.lit(False)
-    s = html_scores(spark, sf_dir)
-    wire = F.lit(False)
-    nlp = S.nlp_score(no, no, no, S.any_of(host, S.NEWS_WORDS), S.any_of(host, S.SPAM_WORDS), no, F.lit(0), F.lit(0), F.lit(100), wire, F.col("n_words"))
+
+@query(f"WITH {_SIGNALS_SQL} SELECT page_id, n_words, {', '.join(SIGNALS)}, heuristic FROM h")
+def score_html_total(spark, sf_dir):
+    return html_scores(pages(spark, sf_dir)).select("page_id", "n_words", *SIGNALS, "heuristic")
+
+
+@query(f"WITH {_MARKED}, {_signals_sql('marked')} SELECT page_id, n_words, {', '.join(SIGNALS)}, heuristic FROM h")
+def score_html_marked(spark, sf_dir):
+    """The rubric over pages that have every signal."""
+    return html_scores(marked_pages(spark, sf_dir)).select("page_id", "n_words", *SIGNALS, "heuristic")
+
+
+_READ = rf"""r AS (SELECT *, CASE WHEN length(text) >= 100 THEN 206.835::DOUBLE - 1.015::DOUBLE * ({_N} / greatest(len({_SENTENCES.format(t='text')}), 1)) - 84.6::DOUBLE * (list_sum(list_transform({_WORDS.format(t='lower(text)')}, lambda x: greatest(1, len(regexp_extract_all(x, '{_VOWELS}'))))) / {_N}) END AS flesch,
+  CASE WHEN length(text) >= 100 THEN n_words ELSE 0 END AS lexicon, string_split({SQL_HOST.format(u="'http://' || netloc")}, '.')[-2] AS label FROM h)"""
+_HEADLINE = ("you won''t believe", "shocking", "what happened next", r"number \d+ will", "doctors hate", r"\d+ tricks", "this one weird")
+_NLP = rf"""greatest(0, least(100, 50 + CASE WHEN len({_BODIES}) > 0 THEN 15 ELSE 0 END + CASE WHEN regexp_matches(html, '(?i)property=["'']og:') THEN 5 ELSE 0 END + CASE WHEN article THEN 10 ELSE 0 END
+  + CASE WHEN regexp_matches(label, 'news|post|times|journal|tribune|herald|gazette|daily') THEN 10 ELSE 0 END - CASE WHEN regexp_matches(label, 'promo|deals|buy|shop|discount|cheap') THEN 15 ELSE 0 END
+  - CASE WHEN upper(title) = title AND regexp_matches(title, '\p{{Lu}}') AND length(title) > 10 THEN 10 ELSE 0 END - 5 * ({" + ".join(f"regexp_matches(lower(title), '{x}')::INT" for x in _HEADLINE)}) - CASE WHEN length(title) - length(translate(title, '!?', '')) > 2 THEN 5 ELSE 0 END
+  + CASE WHEN flesch BETWEEN 30 AND 80 THEN 10 WHEN flesch < 30 AND lexicon > 3000 THEN 5 WHEN flesch < 30 THEN -5 ELSE 0 END
+  - CASE WHEN regexp_matches(lower(substr(text, 1, 500)), 'reuters|associated press|bloomberg|agence france-presse') THEN 10 ELSE 0 END
+  + CASE WHEN lexicon > 5000 THEN 20 WHEN lexicon > 2000 THEN 15 WHEN lexicon > 1000 THEN 10 WHEN lexicon > 300 THEN 5 ELSE 0 END))"""
+
+
+def nlp_scores(p):
+    """The second rubric beside the first."""
+    s = html_scores(p)
+    html, title, text = F.col("html"), F.col("title"), F.col("text")
+    label = F.substring_index(U.registrable_domain(F.col("url")), ".", 1)
+    caps = (F.upper(title) == title) & title.rlike(r"\p{Lu}") & (F.length(title) > 10)
+    long = F.length(text) >= 100
+    flesch, lexicon = F.when(long, S.readability(text)["flesch"]), F.when(long, F.col("n_words")).otherwise(0)
+    marks = F.length(title) - F.length(F.translate(title, "!?", ""))
+    nlp = S.nlp_score(
+        F.size(D.json_ld_items(html)) > 0, html.rlike(r"""(?i)property=["']og:"""), F.col("article"), S.any_of(label, S.NEWS_WORDS), S.any_of(label, S.SPAM_WORDS), caps, S.headline_hits(title), marks, flesch, T.wire_hits(text) > 0, lexicon,
+    )
     return s.withColumn("nlp", nlp)
 
 
-@query(f"WITH {_SIGNALS_SQL} SELECT h.page_id, {_NLP} AS nlp FROM h JOIN p ON p.page_id = h.page_id")
+@query(f"WITH {_SIGNALS_SQL}, {_READ} SELECT page_id, {_NLP} AS nlp FROM r")
 def score_nlp(spark, sf_dir):
-    return nlp_scores(spark, sf_dir).select("page_id", "nlp")
+    return nlp_scores(pages(spark, sf_dir)).select("page_id", "nlp")
+
+
+@query(f"WITH {_MARKED}, {_signals_sql('marked')}, {_READ} SELECT page_id, {_NLP} AS nlp FROM r")
+def score_nlp_marked(spark, sf_dir):
+    """The second rubric over pages that have every signal."""
+    return nlp_scores(marked_pages(spark, sf_dir)).select("page_id", "nlp")
 
 
-_FINAL = f"WITH {_SIGNALS_SQL}, n AS (SELECT h.*, {_NLP} AS nlp FROM h JOIN p ON p.page_id = h.page_id), f AS (SELECT *, CAST(trunc(heuristic * 0.7::DOUBLE + nlp * 0.3::DOUBLE) AS INT) AS score FROM n)"
+_FINAL = f"WITH {_SIGNALS_SQL}, {_READ}, n AS (SELECT *, {_NLP} AS nlp FROM r), f AS (SELECT *, CAST(trunc(heuristic * 0.7::DOUBLE + nlp * 0.3::DOUBLE) AS INT) AS score FROM n)"
 _CLASS = "CASE WHEN score >= 70 THEN 'legit' WHEN score >= 40 THEN 'maybe' ELSE 'skip' END"
 
 
 def final_scores(spark, sf_dir):
-    s = nlp_scores(spark, sf_dir)
+    s = nlp_scores(pages(spark, sf_dir))
     s = s.withColumn("score", S.blend(F.col("heuristic"), F.col("nlp")))
     return s.withColumn("class", S.class_of(F.col("score"))).withColumn("status", F.when(F.col("score") >= 40, "success").otherwise("filtered"))
 
@@ -171,7 +271,7 @@ def score_summary(spark, sf_dir):
 def pages_ranked(spark, sf_dir):
     """Crawled pages worth reading: copies dropped, scored, ranked.
 
-    Only page_id and score go to one task, and only where ranks of a whole crawl are asked for.
+    Ranks come from stored ranges: no task has more than its own.
     """
     f = final_scores(spark, sf_dir)
     first = f.groupBy(F.md5("text").alias("hash")).agg(F.min(F.struct("page_id", "url", "title", "n_words", "score", "class")).alias("r")).select("r.*")

@@ -84,10 +84,9 @@ def recent_searches(spark, sf_dir):
     return s.join(n, "query_id", "left").withColumn("n_results", F.coalesce("n_results", F.lit(0)))
 
 
-@query(f"WITH {_SEARCH}, {SQL_PAGES} SELECT r.query_id, r.position, p.norm AS url FROM results r JOIN p ON p.page_id = r.page_id WHERE r.query_id < 20")
+@query(f"WITH {_SEARCH}, {SQL_PAGES} SELECT r.query_id, r.position, p.norm AS url FROM results r JOIN p ON p.page_id = r.page_id")
 def search_results_by_position(spark, sf_dir):
-    r = results(spark, sf_dir).filter("query_id < 20")
-    return r.select("query_id", "position", U.normalize_url(F.col("url")).alias("url"))
+    return results(spark, sf_dir).select("query_id", "position", U.normalize_url(F.col("url")).alias("url"))
 
 
 @query(
@@ -343,8 +342,10 @@ def hosts_not_seen(spark, sf_dir):
 
 @query()
 def analysis_pipeline(spark, sf_dir):
-    """URL to scored document: canonical URL, cache decision, lane, score, class, and the merged store row."""
+    """URL to scored document: canonical URL, decision by the newest fetch, lane, score, class, and the merged store row."""
     f = final_scores(spark, sf_dir).select("page_id", "url", "n_words", "score", "class", "status")
-    w = Window.partitionBy("url").orderBy(F.col("page_id").desc())
-    one = f.withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r")
-    return one.withColumn("lane", U.url_lane(F.col("url"))).withColumn("decision", C.simple_reuse(F.col("status"), F.lit(None).cast("timestamp"), as_of())).withColumn("relabelled", S.class_of(F.col("score"), "junk"))
+    one = f.groupBy("url").agg(F.max_by(F.struct("page_id", "n_words", "score", "class", "status"), "page_id").alias("r")).select("url", "r.*")
+    # fetches end some days before now
+    at = url_raw(spark, sf_dir).groupBy("url").agg((F.max("fetched_at") + F.expr("INTERVAL 24 DAYS")).alias("processed_at"))
+    j = one.join(at, "url").withColumn("lane", U.url_lane(F.col("url")))
+    return j.withColumn("decision", C.simple_reuse(F.col("status"), F.col("processed_at"), as_of())).withColumn("relabelled", S.class_of(F.col("score"), "junk"))

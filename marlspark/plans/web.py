@@ -77,10 +77,10 @@ def query_variants(spark, sf_dir):
 @query()
 def query_fuzzy_best(spark, sf_dir):
     """Each later user turn's most similar first turn, by the similarity of insertions and deletions."""
-    c = table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", F.substring(T.normalize_query(F.col("text")), 1, 200).alias("query"))
+    c = table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", T.normalize_query(F.col("text")).alias("query"))
     asked = c.filter("turn > 0").select(F.concat_ws("/", "conv_id", "turn").alias("id"), "query")
     cached = c.filter("turn = 0").select(F.col("conv_id").cast("string").alias("id"), "query")
-    return fuzzy.best_matches(asked, cached, threshold=50)
+    return fuzzy.best_matches(asked, cached)
 
 
 @query(r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g'), E' \n\t') AS text_normalized FROM documents")
@@ -141,10 +141,10 @@ def doc_short_hash(spark, sf_dir):
 
 @query(
     """SELECT doc_id, substr(text, 1, 10) || '<highlight>' || substr(text, 11, 30) || '</highlight>' || substr(text, 41) AS marked,
-    replace(replace(replace(substr(text, 1, 50), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM documents WHERE NOT contains(substr(text, 1, 50), '"') AND NOT contains(substr(text, 1, 50), '''') AND NOT contains(substr(text, 1, 50), chr(10))"""
+    replace(replace(replace(replace(replace(replace(substr(text, 1, 50), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;'), chr(10), '<br>') AS escaped FROM documents"""
 )
 def highlighted(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter(~F.substring("text", 1, 50).rlike("[\"'\n]"))
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", T.highlight(F.col("text"), F.lit(10), F.lit(40)).alias("marked"), T.escape_html(F.substring("text", 1, 50)).alias("escaped"))
 
 

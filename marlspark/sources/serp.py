@@ -1,9 +1,14 @@
 """Search results as a data source: stored answers of a provider, one JSON document a line.
 
+    stored_results(spark, "hdfs://.../answers/*.jsonl", "ddg")
+
+reads them from any store that Spark reads. The data source
+
     spark.dataSource.register(SerpSource)
     spark.read.format("serp").load("/answers/*.jsonl")
 
-A provider is chosen by option("provider", ...): `serper` or `ddg`.
+opens files itself: it is for folders that are mounted on all machines. A
+provider is chosen by name: `serper` or `ddg`.
 """
 
 from __future__ import annotations
@@ -11,6 +16,8 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 PROVIDERS = {"serper": ("organic", "news", "videos", "scholar"), "ddg": ("organic", "news", "videos"), "duckduckgo": ("organic", "news", "videos")}
@@ -22,6 +29,19 @@ def provider(name: str | None) -> str:
     return "ddg" if n in ("ddg", "duckduckgo") else "serper"
 
 
+_ITEM = "array<struct<link:string,href:string,url:string,title:string,snippet:string,body:string>>"
+
+
+def stored_results(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
+    """query, kind, position, link, title, snippet of stored answers, a JSON document a line. Items without a link are left out."""
+    kinds = PROVIDERS[provider(name)]
+    a = spark.read.text(path).select(F.from_json("value", f"query string, {', '.join(f'{k} {_ITEM}' for k in kinds)}").alias("a"))
+    lists = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"a.{k}").alias("items")) for k in kinds])
+    r = a.select("a.query", F.explode(lists).alias("l")).select("query", "l.kind", F.posexplode("l.items").alias("position", "i"))
+    some = lambda *names: F.coalesce(*[F.nullif(f"i.{n}", F.lit("")) for n in names[:-1]], F.col(f"i.{names[-1]}"))
+    return r.select("query", "kind", "position", some("link", "href", "url").alias("link"), "i.title", some("snippet", "body").alias("snippet")).filter("link IS NOT NULL")
+
+
 class _File(InputPartition):
     def __init__(self, path: str):
         super().__init__(path)

@@ -84,7 +84,51 @@ def test_dates(spark):
     assert [(r.published_source, r.updated_source) for r in d] == [("jsonld", "jsonld"), ("none", "og"), ("none", "none")]
     assert str(d[0].published) == "2024-02-02 00:00:00" and d[0].updated.hour == 10
     s = values(spark, "string", [page], H.structured_data)[0]
-    assert s.has_jsonld and not s.has_opengraph and s.author == "Ann Lee"
+    assert s.has_jsonld and not s.has_opengraph and s.author is None
+    many = '<script type="application/ld+json">{"@type":"Thing"}</script><script type="application/ld+json">[' + '{"@type":"Thing"},' * 12 + '{"@type":"NewsArticle","author":{"name":"Ed Poe"},"datePublished":"2023-12-24"}]</script>'
+    graph = '<script type="application/ld+json">{"@graph":[' + '{"a":1},' * 14 + '{"dateModified":"2022-02-02"},{"dateModified":"2023-02-02"}]}</script>'
+    s = values(spark, "string", [many], H.structured_data)[0]
+    assert (s.article_type, s.author, s.date) == ("NewsArticle", "Ed Poe", "2023-12-24")
+    d = values(spark, "string", [many, graph], lambda c: F.struct(*D.json_ld_dates(c)))
+    assert str(d[0][0])[:10] == "2023-12-24" and str(d[1][1])[:10] == "2022-02-02"
+    close = "2024-01-01 2024-01-02 2024-01-03 and later updated 2024-02-02, 2024-02-03"
+    found = values(spark, "string", [close], lambda c: F.struct(*D.byline_dates(c)))[0]
+    assert [len(x) for x in found] == [2, 3]
+
+
+def test_marks_and_line_breaks(spark):
+    assert values(spark, "string", ["«a» ‘b’ “c” d–e"], T.normalize_query) == ["\"a\" 'b' \"c\" d-e"]
+    assert values(spark, "string", ["a\n\n\nb\n\n\n\n\nc"], lambda c: T.normalize_line_breaks(c, "pdf")) == ["a\n\n\nb\n\nc"]
+    xml = "<rss><item><link>https://x.org/ab</link><pubDate>1 Jan 2024 00:00:00</pubDate></item><item><link>https://x.org/a</link><pubDate>2 Jan 2024 00:00:00</pubDate></item></rss>"
+    assert str(values(spark, "string", [xml], lambda c: H.feed_date(c, F.lit("https://x.org/a")))[0])[:10] == "2024-01-02"
+
+
+def test_rubric_places(spark):
+    pages = ['<meta content="Jane Doe" name="author">', '<span class="byline">by <a>Ann Lee</a></span>', '<div rel="author">one</div>', "<p>Jane Doe</p>", '<a class="x-author-y" href="/z">jane doe</a>']
+    assert values(spark, "string", pages, S.byline_points) == [10, 10, 0, 0, 0]
+    dates = ['<time itemprop="datePublished" datetime="2023-05-05T10:00:00Z">x</time>', '<span class="date">2019/05/06</span>', '<span class="date">2023/05/06</span>', '<meta name="publishdate" content="2023">', '<meta property="article:published_time" content="Today">', "2024-01-01"]
+    assert values(spark, "string", dates, lambda c: S.recent_points(c, F.lit("2024-02-01").cast("timestamp"))) == [10, 0, 10, 10, 0, 0]
+
+
+def test_fuzzy_matches_equal_brute_force(spark):
+    r = random.Random(8)
+    base = ["".join(r.choice("abcde ") for _ in range(r.randrange(1, 40))) for _ in range(40)] + ["lorem ipsum " * 420]
+    def changed(s, k):
+        x = list(s)
+        for _ in range(k):
+            i = r.randrange(len(x) + 1)
+            x[i : i + r.randrange(2)] = r.choice(["", "z", "b"])
+        return "".join(x)
+    asked = [(f"a{i}", changed(s, r.randrange(6))) for i, s in enumerate(base)] + [("n", None), ("e", "")]
+    cached = [(f"c{i:02}", s) for i, s in enumerate(base)] + [("c98", ""), ("c99", base[0]), ("cn", None)]
+    a, c = (spark.createDataFrame(x, "id string, query string") for x in (asked, cached))
+    for t in (98, 85, 70, 50):
+        want = {}
+        for i, q in asked:
+            hits = sorted((-fuzzy.ratio(q, m), k) for k, m in cached if q is not None and m is not None and fuzzy.ratio(q, m) >= t)
+            if hits:
+                want[i] = (hits[0][1], int(-hits[0][0]))
+        assert {x.id: (x.match_id, x.score) for x in fuzzy.best_matches(a, c, t).collect()} == want, t
 
 
 def test_freshness_rules(spark):

@@ -146,3 +146,47 @@ def test_partitions_do_not_matter(spark):
         assert rows[0] == rows[1]
 
 
+
+
+def test_stored_results_equal_the_data_source(spark, tmp_path):
+    rows = [{"query": "a", "organic": [{"link": "u", "title": "t", "snippet": "s"}, {"title": "no link"}, {"href": "h", "body": "b"}], "videos": [{"url": "v"}]}, {"query": None, "news": None}]
+    (tmp_path / "x.jsonl").write_text("\n".join(map(json.dumps, rows)) + "\n\n")
+    spark.dataSource.register(serp.SerpSource)
+    for name in ("serper", "ddg"):
+        want = spark.read.format("serp").option("provider", name).load(f"{tmp_path}/*.jsonl").collect()
+        assert sorted(map(str, serp.stored_results(spark, f"{tmp_path}/*.jsonl", name).collect())) == sorted(map(str, want)) and len(want) == 3
+
+
+def test_packing_of_many_parts(spark):
+    assert chunking.packed([5, 5, 5, 20, 1], 10) == [0, 0, 1, 2, 3] and chunking.merged([5, 5, 5, 20, 1], 10) == [0, 0, 1, 1, 1]
+    got = spark.range(1).select(chunking.chunk_numbers(F.array_repeat(F.lit(7), 50000), 70).alias("c")).first().c
+    assert got == [i // 10 for i in range(50000)]
+
+
+def test_content_similarity_by_hand(spark):
+    from math import log, sqrt
+
+    from marlspark.operators import similarity
+
+    df = spark.createDataFrame([("red fish red fish blue", "blue fish bird"), ("the of", "a b"), ("same words here", "same words here")], "a string, b string")
+    got = [r.s for r in df.select(similarity.tfidf_cosine(F.col("a"), F.col("b")).alias("s")).collect()]
+    x = log(1.5) + 1
+    want = (2 * 1 + 1 * 1) / (sqrt((2 * x) ** 2 + 2**2 + 1) * sqrt(1 + 1 + x * x))
+    assert abs(got[0] - want) < 1e-9 and got[1] == 0 and abs(got[2] - 1) < 1e-9
+
+
+def test_blocks_of_pages_and_merged_chunks(spark):
+    from marlspark.functions import html
+
+    page = "<title>T</title><h1>Head</h1><p>One <b>two</b><p>three</p><nav><p>no</p></nav><ul><li>item</ul><script>x</script>"
+    f = html.parse(page)
+    assert [(b["type"], b["level"], b["text"]) for b in f["blocks"]] == [("heading", 1, "Head"), ("p", 0, "One two"), ("p", 0, "three"), ("li", 0, "item")]
+    parts = spark.createDataFrame([(1, i, "x" * n) for i, n in enumerate((100, 450, 600, 20, 30))], "doc int, at int, chunk string")
+    m = sorted((r.chunk_id, r.merged_from, r.n_chars) for r in chunking.merge_chunks(parts, "doc", "at", least=500).collect())
+    assert m == [(0, [0, 1], 550), (1, [2, 3, 4], 650)]
+
+
+def test_analysis_pipeline_decides_by_the_store(spark):
+    q = entry.queries()["analysis_pipeline"](spark, SF).collect()
+    assert len({r.url for r in q}) == len(q) and {r.decision for r in q} == {"reuse", "refetch"}
+    assert all(r.decision == "refetch" for r in q if r.status != "success")
