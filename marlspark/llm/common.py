@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable
 from urllib.parse import unquote, urlparse
@@ -13,56 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import drop, fresh_path, materialize  # noqa: F401
+
 #: Bytes of an Arrow batch, which has one row at least. Texts can be long, so that rows alone bound nothing.
 BATCH_BYTES = "4m"
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only where that is unset and all runs on one machine (tests), one of our own for this application."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    if context.applicationId not in _own_dirs:
-        _own_dirs[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="marlspark-")
-    return _own_dirs[context.applicationId]
-
-
-def _store(spark: SparkSession, path: str):
-    """The path and the file system that has it."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder. The JVM removes it when the application ends, where drop() hasn't before."""
-    where, store = _store(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}")
-    store.deleteOnExit(where)
-    # with its scheme, also where the setting has none: Spark and Files must mean the same store
-    return store.makeQualified(where).toString()
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and reread it: cuts the lineage and fixes the rows against recomputation."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
-def drop(spark: SparkSession, *tables: DataFrame | str) -> None:
-    """Remove materialized tables, or folders, that nothing reads any more."""
-    for t in tables:
-        where, store = _store(spark, t if isinstance(t, str) else t.stored_at)
-        store.delete(where, True)
-        store.cancelDeleteOnExit(where)
-
-
 def bounded(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes, unless the session has a bound already."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -147,6 +101,13 @@ class Files:
                 f.write(data)
             store.move(part, f"{root}/{name}")
 
+    def read(self, name: str, at: int, size: int) -> bytes:
+        """A part of a file in a store that isn't mounted."""
+        store, root = self._fs()
+        with store.open_input_file(f"{root}/{name}") as f:
+            f.seek(at)
+            return f.read(size)
+
     def open(self, name: str):
         """The file's bytes: mapped into memory where the folder is mounted, else read."""
         import numpy as np
