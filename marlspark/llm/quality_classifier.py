@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import materialize, pick, remainder
 from .textstats import statistics
 
-#: Labelled rows to fit on, at most: those with the smallest hash of doc_id.
+#: Labelled documents to fit on, about: those with the smallest hashes of doc_id.
 SAMPLE = 8000
 THRESHOLD = 0.3
 
@@ -122,7 +122,14 @@ def grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, bins: list[np.ndarray], co
 def lasso(z: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 400) -> tuple[float, np.ndarray]:
     """Logistic regression with an L1 penalty by accelerated proximal gradients."""
     n = len(y)
-    step = 4.0 * n / max(np.linalg.norm(np.c_[np.ones(n), z], 2) ** 2, 1e-9)
+    # the largest singular value by powers, a little more to be safe
+    u = np.ones(z.shape[1] + 1)
+    for _ in range(60):
+        r = z @ u[1:] + u[0]
+        u = np.r_[r.sum(), z.T @ r]
+        size = float(np.linalg.norm(u))
+        u /= max(size, 1e-300)
+    step = 4.0 * n / max(1.05 * size, 1e-9)
     w, b = np.zeros(z.shape[1]), float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
     v, c, t = w, b, 1.0
     for _ in range(rounds):
@@ -181,27 +188,38 @@ def features(stats: DataFrame, *keep: str) -> DataFrame:
     return stats.select("doc_id", *keep, *[F.expr(e).cast("double").alias(n) for n, e in FEATURES.items()])
 
 
-def train(feats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on labelled rows of feats; labels has doc_id, quality."""
-    marks = pick(labels, "doc_id", "quality").filter("doc_id IS NOT NULL AND quality IS NOT NULL")
-    marks = marks.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
-    # hashed order over both sides before the join: few rows meet
-    rows = feats.join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *_names).limit(sample).collect()
-    return fit(np.array([[r[n] for n in _names] for r in rows], float).reshape(-1, len(_names)), np.array([r["label"] for r in rows], float))
+def marks(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, label of about `sample` labelled documents to learn from, those with the smallest hashes: few rows, whatever there are.
+
+    The share of hashes follows from the number of labels, so that nothing is sorted.
+    """
+    some = pick(labels, "doc_id", "quality").filter("doc_id IS NOT NULL AND quality IS NOT NULL").filter(remainder(5) != 0)
+    n = some.count()
+    share = min(1 << 30, -(-sample * (1 << 30) // max(1, n)))
+    few = some.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
+    return few.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
+
+
+def train(feats: DataFrame, few: DataFrame) -> Model:
+    """Fit on rows of feats that are in few, which marks() gives. Of rows that repeat a doc_id, which could be many, one counts."""
+    one = feats.join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.min(F.struct("label", *_names)).alias("r"))
+    rows = sorted(one.collect(), key=lambda r: r["doc_id"])
+    return fit(np.array([[r["r"][n] for n in _names] for r in rows], float).reshape(-1, len(_names)), np.array([r["r"]["label"] for r in rows], float))
 
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every row; rows whose remainder is 0 aren't learned from."""
     feats = materialize(features(statistics(docs)), "features")
-    model = train(feats.filter(remainder(5) != 0), labels, sample)
+    model = train(feats, marks(labels, sample))
     out = feats.select("doc_id", (remainder(5) == 0).alias("held_out"), model.column().alias("score"))
     return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 
 def kept(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose own text score() predicts 1 for, whatever their doc_ids."""
-    marked = docs.join(pick(labels, "doc_id").distinct(), "doc_id", "left_semi")
-    model = train(features(statistics(marked)).filter(remainder(5) != 0), labels, sample)
+    few = materialize(marks(labels, sample), "marks")
+    # only rows to learn from reach the statistics
+    model = train(features(statistics(docs.join(F.broadcast(few.select("doc_id")), "doc_id", "left_semi"))), few)
     names = [c for c in docs.columns if c not in ("doc_id", "text")] + ["whole"]
     rows = features(statistics(docs.withColumn("whole", F.col("text")), *names), *names)
     return rows.filter(model.column() >= threshold).withColumnRenamed("whole", "text").select(*docs.columns)

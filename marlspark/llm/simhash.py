@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import near_copies
-from .common import documents, fresh_path, map_texts, materialize
+from .common import documents, drop, fresh_path, map_texts, materialize
 
 BITS = 64
 SEED = 42
@@ -246,7 +246,7 @@ def components(edges: DataFrame) -> DataFrame:
     point at; the rest shrinks by half or more in each.
     """
     left = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "links")
-    spans: list[DataFrame] = []
+    spark, spans = edges.sparkSession, []
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # hooks: u -> its smallest neighbour if smaller than itself; chains of them end at local minima
@@ -256,10 +256,12 @@ def components(edges: DataFrame) -> DataFrame:
             up = hook.select(F.col("node").alias("to"), F.col("to").alias("top"))
             jumped = materialize(hook.join(up, "to").select("node", F.col("top").alias("to"), (F.col("top") != F.col("to")).alias("moved")), "jumps")
             moved = not jumped.filter("moved").isEmpty()
-            hook = jumped.select("node", "to")
-        spans.append(hook)
-        a, b = hook.toDF("u", "cu"), hook.toDF("v", "cv")
-        left = materialize(left.join(a, "u").join(b, "v").filter("cu <> cv").select(F.greatest("cu", "cv").alias("u"), F.least("cu", "cv").alias("v")).distinct(), "links")
+            drop(spark, hook)
+            hook = jumped
+        spans.append(hook.select("node", "to"))
+        a, b = spans[-1].toDF("u", "cu"), spans[-1].toDF("v", "cv")
+        done, left = left, materialize(left.join(a, "u").join(b, "v").filter("cu <> cv").select(F.greatest("cu", "cv").alias("u"), F.least("cu", "cv").alias("v")).distinct(), "links")
+        drop(spark, done)
     if not spans:
         return left.select(F.col("u").alias("node"), F.col("v").alias("component"))
     out = spans[0].toDF("node", "component")
@@ -297,6 +299,7 @@ def near_duplicates(docs: DataFrame, shingle: int = near_copies.SHINGLE, similar
     points = found.filter("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").cast("bigint").alias("node"), first)
     points = materialize(points.select("digest", "node", "first.*"), "points")
     joined = components(near_copies.links(points, folder, similarity))
+    drop(docs.sparkSession, folder)  # links are stored by now, and sets no more asked for
     classes = points.join(joined, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     return found.join(classes, "digest", "left").select("doc_id", "component_id")
 

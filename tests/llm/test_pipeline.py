@@ -40,6 +40,14 @@ def test_odd_rows(spark, sf, odd):
     assert now.columns[:4] == ["doc_id", "piece", "start", "length"]
 
 
+def test_empty_table(spark, sf, empty):
+    now = empty
+    for _, stage in P.STAGES:
+        now = materialize(stage(spark, now, sf), "empty")
+        assert now.count() == 0
+    assert {"doc_id", "sequence_id", "offset"} <= set(now.columns)
+
+
 def test_one_row_of_a_repeated_id_stays(spark, sf):
     rows = [(1, "alpha beta gamma delta epsilon", "en", "a", 1), (1, "alpha beta gamma delta epsilon", "en", "a", 1), (2, "alpha beta gamma delta epsilon", "en", "a", 1), (3, "quite another text is written here", "en", "a", 1)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
@@ -50,7 +58,7 @@ def verdicts_by_text(df, labels):
     """Rows whose text score() keeps; equal texts have equal verdicts."""
     texts = {r.n_chars: r.text for r in df.collect()}
     rows = df.withColumn("doc_id", df.n_chars)
-    model = quality_classifier.train(quality_classifier.features(quality_classifier.statistics(df)).filter(quality_classifier.remainder(5) != 0), labels)
+    model = quality_classifier.train(quality_classifier.features(quality_classifier.statistics(df)), quality_classifier.marks(labels))
     feats = quality_classifier.features(quality_classifier.statistics(rows))
     kept = {r.doc_id for r in feats.filter(model.column() >= quality_classifier.THRESHOLD).collect()}
     return df.sparkSession.createDataFrame([(i, texts[i]) for i in kept], "n_chars bigint, text string")
