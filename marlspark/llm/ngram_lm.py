@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Files, documents, fresh_path, remainder
+from .common import Files, documents, drop, fresh_path, remainder
 
 K = 20.0
 #: All pairs are stored.
@@ -63,9 +63,8 @@ def restore(q: np.ndarray) -> np.ndarray:
 BLOCK = 128
 
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-#: Place of the k-th zero in a byte.
-_ZERO_AT = np.array([[next((p for p in range(8) if not i >> p & 1 and bin(~i & ((1 << p) - 1)).count("1") == k), 8) for k in range(8)] for i in range(256)], np.uint8)
-_ONE_AT = _ZERO_AT[::-1]
+#: Place of the k-th one in a byte.
+_ONE_AT = np.array([[next((p for p in range(8) if i >> p & 1 and bin(i & ((1 << p) - 1)).count("1") == k), 8) for k in range(8)] for i in range(256)], np.uint8)
 
 
 class EliasFano:
@@ -96,13 +95,23 @@ class EliasFano:
 
     def _place(self, block: np.ndarray, left: np.ndarray, zero: bool) -> np.ndarray:
         """Position of the left-th zero (or one) of each block."""
-        each = _ONES[self.highs.reshape(-1, BLOCK // 8)[block]]
-        cum = np.cumsum(8 - each if zero else each, axis=1, dtype=np.int16)
-        inner = (cum <= left[:, None]).sum(axis=1)
-        flat = cum.ravel()[np.arange(len(block)) * (BLOCK // 8) + np.maximum(inner - 1, 0)]
-        left = left - np.where(inner > 0, flat, 0)
-        byte = block * (BLOCK // 8) + inner
-        return byte * 8 + (_ZERO_AT if zero else _ONE_AT)[self.highs[byte], left]
+        words = self.highs.view(np.uint64).reshape(-1, BLOCK // 64)
+        left, word, at = left.astype(np.int64), None, block * BLOCK
+        for k in range(BLOCK // 64):
+            here = words[block, k]
+            here = ~here if zero else here
+            if word is None:
+                word = here
+                continue
+            # on to the next word where the one before has too few
+            n = np.bitwise_count(word).astype(np.int64)
+            on = left >= n
+            word, left, at = np.where(on, here, word), left - n * on, at + 64 * on
+        for shift in (32, 16, 8):
+            n = np.bitwise_count(word & np.uint64((1 << shift) - 1)).astype(np.int64)
+            on = left >= n
+            word, left, at = np.where(on, word >> np.uint64(shift), word), left - n * on, at + shift * on
+        return at + _ONE_AT[(word & np.uint64(255)).astype(np.int64), left]
 
     def _select0(self, k: np.ndarray) -> np.ndarray:
         """Position of the k-th zero of the high bits."""
@@ -252,8 +261,8 @@ def _chunks(batches, of) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield _counted(np.concatenate(held))
 
 
-def _gather(parts: DataFrame, build, schema: str) -> DataFrame:
-    """build(shard, keys, counts) -> one row, for each shard of merged parts. A shard is a fixed share of hashes, whatever words are frequent."""
+def _gather(parts: DataFrame, build, schema: str, shards: int) -> DataFrame:
+    """build(shard, keys, counts) -> one row, for each shard of merged parts, in a task of its own. A shard is a fixed share of hashes, whatever words are frequent."""
     names = [f.split()[0] for f in schema.split(", ")]
     types = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
     kinds = [types[f.split()[1]] for f in schema.split(", ")]
@@ -280,8 +289,7 @@ def _gather(parts: DataFrame, build, schema: str) -> DataFrame:
         if parts:
             yield done()
 
-    n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return parts.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(run, schema)
+    return parts.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(run, schema)
 
 
 # --- the model ----------------------------------------------------------------
@@ -378,8 +386,12 @@ class Backoff:
     def look_up(self, ids: np.ndarray) -> np.ndarray:
         out = np.zeros(len(ids))
         of = np.searchsorted(self.firsts, ids, side="right") - 1
-        for s in np.unique(of[ids >= 0]).tolist():
-            at = np.flatnonzero((of == s) & (ids >= 0))
+        order = np.argsort(of, kind="stable")
+        order = order[ids[order] >= 0]
+        edge = np.flatnonzero(np.r_[True, np.diff(of[order]) > 0, True]) if len(order) else [0]
+        for x, z in zip(edge, edge[1:], strict=False):
+            at = order[x:z]
+            s = int(of[at[0]])
             if s not in self.shards:
                 self.shards[s] = load(self.files.open(f"backoff-{s}"))["weight"]
             out[at] = restore(self.shards[s][ids[at] - self.firsts[s]])
@@ -409,30 +421,31 @@ class Model:
     def words(self) -> Words:
         return _open(Words, self.folder, self.firsts)
 
-    def known(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of all tokens of texts: ids, counts, ids of what stands before each; and where each text begins, and the end."""
+    def known(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids and counts of the distinct words of texts; of all tokens which of these each is and which stands before it; and where each text begins, and the end."""
         each = [hashes(t) for t in texts]
         edge = np.r_[0, np.cumsum([len(e) for e in each])]
         h = np.concatenate(each) if each else np.zeros(0, np.uint64)
         values, inverse = np.unique(np.r_[np.uint64(START), h], return_inverse=True)
         ids, n = self.words().look_up(values)
-        ids, n = ids[inverse], n[inverse]
-        before = np.r_[np.int64(-1), ids[1:-1]] if len(h) else ids[:0]
-        before[edge[:-1]] = ids[0]
-        return ids[1:], n[1:], before, edge
+        before = inverse[:-1].copy()
+        before[edge[:-1]] = inverse[0]
+        return ids, n, inverse[1:], before, edge
 
     def scores(self, texts: list) -> tuple:
         """(tokens, known tokens, base score, score) of each text."""
-        ids, n, before, edge = self.known(texts)
-        p1 = np.log10((n + 1) / (self.tokens + self.distinct + 1))
-        p = np.full(len(ids), np.nan)
+        ids, n, own, before, edge = self.known(texts)
+        base = np.log10((n + 1) / (self.tokens + self.distinct + 1))
+        n, p1 = n[own], base[own]
         if self.vocabulary:
-            weight = _open(Backoff, self.folder, self.firsts).look_up(before)
-            # contexts that keep no pair have weight 1
-            both = np.flatnonzero((ids >= 0) & (weight < 0))
-            p[both] = _open(Pairs, self.folder, len(self.firsts), self.vocabulary).look_up(before[both], ids[both])
-            rest = np.isnan(p)
-            p[rest] = p1[rest] + weight[rest]
+            weight = _open(Backoff, self.folder, self.firsts).look_up(ids)
+            p = p1 + weight[before]
+            # contexts that keep no pair have weight 1; each distinct pair is looked up once
+            both = np.flatnonzero((ids[own] >= 0) & (weight[before] < 0))
+            pairs, place = np.unique(before[both] * len(ids) + own[both], return_inverse=True)
+            found = _open(Pairs, self.folder, len(self.firsts), self.vocabulary).look_up(ids[pairs // len(ids)], ids[pairs % len(ids)])[place]
+            hit = ~np.isnan(found)
+            p[both[hit]] = found[hit]
         else:
             p = p1
         add = lambda x: np.add.reduceat(x, edge[:-1]).tolist()  # noqa: E731  each text has a token at least
@@ -454,6 +467,8 @@ def fit(docs: DataFrame, k: float = K, least: int = LEAST, shards: int | None =
         raise ValueError("shards must be a power of two")
     folder = fresh_path(spark, "ngrams")
     files = Files(folder)
+    counts_folder = fresh_path(spark, "pairs")
+    between = Files(counts_folder)
 
     def words(batches):
         # the start mark counts as each text's context
@@ -466,7 +481,7 @@ def fit(docs: DataFrame, k: float = K, least: int = LEAST, shards: int | None =
         real = keys != START
         return s, len(keys), int(n[real].sum()), int(real.sum())
 
-    sizes = {r[0]: r for r in _gather(train.mapInArrow(words, _PART), build_words, "shard int, size bigint, tokens bigint, distinct bigint").collect()}
+    sizes = {r[0]: r for r in _gather(train.mapInArrow(words, _PART), build_words, "shard int, size bigint, tokens bigint, distinct bigint", shards).collect()}
     for s in range(shards):
         if s not in sizes:
             empty = EliasFano.build(np.zeros(0, np.uint64), 1)
@@ -483,8 +498,8 @@ def fit(docs: DataFrame, k: float = K, least: int = LEAST, shards: int | None =
 
     def pairs(batches):
         def of(texts):
-            ids, _, before, _ = model.known(texts)
-            return (before.astype(np.uint64) << width) | ids.astype(np.uint64)
+            ids, _, own, before, _ = model.known(texts)
+            return (ids[before].astype(np.uint64) << width) | ids[own].astype(np.uint64)
 
         for keys, n in _chunks(batches, of):
             yield _parts(keys, n, pair_shard(keys >> width, keys & np.uint64((1 << int(width)) - 1), shards))
@@ -494,12 +509,12 @@ def fit(docs: DataFrame, k: float = K, least: int = LEAST, shards: int | None =
         keys, n = keys[kept], n[kept]
         u = (keys >> width).astype(np.int64)
         first = np.flatnonzero(np.r_[True, u[1:] != u[:-1]]) if len(u) else np.zeros(0, np.int64)
-        files.write(f"kept-{s}", dump({"keys": keys, "n": n}))
+        between.write(f"kept-{s}", dump({"keys": keys, "n": n}))
         total = np.add.reduceat(n, first) if len(first) else n
         return s, u[first].tobytes(), total.astype(np.int64).tobytes()
 
     # contexts' kept counts go to the shard of their id
-    kept = _gather(train.mapInArrow(pairs, _PART), build_pairs, "shard int, ids binary, sums binary")
+    kept = _gather(train.mapInArrow(pairs, _PART), build_pairs, "shard int, ids binary, sums binary", shards)
     edges = np.array(firsts[1:], np.int64)
 
     def contexts(batches):
@@ -520,7 +535,7 @@ def fit(docs: DataFrame, k: float = K, least: int = LEAST, shards: int | None =
         files.write(f"backoff-{s}", dump({"weight": weight}))
         return (s,)
 
-    done = {r[0] for r in _gather(kept.mapInArrow(contexts, _PART), build_backoff, "shard int").collect()}
+    done = {r[0] for r in _gather(kept.mapInArrow(contexts, _PART), build_backoff, "shard int", shards).collect()}
     for s in range(shards):
         if s not in done and own[s]:
             spare = model.words().shard(s)[1]
@@ -531,7 +546,7 @@ def fit(docs: DataFrame, k: float = K, least: int = LEAST, shards: int | None =
         for b in batches:
             for s in b.column(0).to_pylist():
                 try:
-                    a = load(files.open(f"kept-{s}"))
+                    a = load(between.open(f"kept-{s}"))
                     keys, n = a["keys"], a["n"]
                 except FileNotFoundError:
                     keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -553,6 +568,7 @@ def fit(docs: DataFrame, k: float = K, least: int = LEAST, shards: int | None =
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32())], names=["shard"])
 
     spark.range(0, shards, 1, min(shards, 64)).select(F.col("id").cast("int").alias("shard")).mapInArrow(trie, "shard int").count()
+    drop(spark, counts_folder)
     return model
 
 
