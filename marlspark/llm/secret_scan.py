@@ -1,15 +1,18 @@
 """Secret scans: fixed patterns, and a randomness test battery for the rest.
 
 The base kinds are patterns. Beyond them every long run of code characters is
-a candidate: an encoding is inferred from its characters, its symbols are
-tested for what random data would show (chi-squared uniformity over the
-encoding's alphabet, runs about the median, lag-one serial correlation), and
-the three p-values are combined by Fisher's method. A candidate that the
-battery doesn't reject as random also needs evidence against the null of an
-ordinary identifier: its likelihood ratio (uniform symbols against a model of
-written names) bounds a p-value that falls with length, and the
-Benjamini-Hochberg rule over a text's candidates controls the false
-discoveries. Short candidates thus need more than long ones.
+a candidate: an encoding is inferred from its characters, and a battery tests
+its symbols: chi-squared uniformity over the encoding's alphabet, runs of
+character classes (lower, upper, digit, other), and lag-one serial correlation.
+
+The battery is read both ways. Fisher's combination of the three p-values under
+randomness rejects what random data would hardly show. And the statistics of
+uniformity and of runs are held against the null of written names, which vary
+from uniform by a non-centrality that grows with length, and change class
+seldom: their tails under that null, combined by Fisher's method, are the
+p-value of a candidate. It falls with length, as a short string can't differ
+clearly from a name; the Benjamini-Hochberg rule over a text's candidates then
+controls the false discoveries, each weighed by its length.
 
 Positions are code points, ends exclusive. Defined results: a null text counts
 as empty and has no spans; ties in position go by kind as listed; a candidate
@@ -36,28 +39,34 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-#: Relative frequencies of a to z in English text, in per mille.
-LETTERS = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
+#: Fixed value: the chance that two letters of English text are the same.
+SAME = 0.0655
+_LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: Alphabets from the narrowest on; the first that holds all characters of a candidate is its encoding.
 ENCODINGS = (
-    ("hex", "0123456789abcdef"),
-    ("hex_upper", "0123456789ABCDEF"),
-    ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
-    ("base36", "0123456789abcdefghijklmnopqrstuvwxyz"),
-    ("base62", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
-    ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
-    ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
+    ("hex", _DIGITS + "abcdef"),
+    ("hex_upper", _DIGITS + "ABCDEF"),
+    ("lower", _LOWER),
+    ("upper", _UPPER),
+    ("base32", _UPPER + "234567"),
+    ("base36", _DIGITS + _LOWER),
+    ("base36_upper", _DIGITS + _UPPER),
+    ("letters", _UPPER + _LOWER),
+    ("base62", _DIGITS + _UPPER + _LOWER),
+    ("base64", _UPPER + _LOWER + _DIGITS + "+/"),
+    ("base64url", _UPPER + _LOWER + _DIGITS + "-_"),
+    ("base66", _UPPER + _LOWER + _DIGITS + "+/-_"),
 )
 _INDEX = {name: {c: i for i, c in enumerate(a)} for name, a in ENCODINGS}
-#: In written names a character is of its neighbour's class with this probability.
-STAY = 0.9
+#: Of the letters' own variation from uniform so much counts as ordinary at least, and so many neighbours of a name differ in class at most.
+ORDINARY, CHANGES = 0.5, 0.3
 
 
 def _class(c: str) -> int:
     return 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3
 
 
-_WRITTEN = {c: math.log(f / sum(LETTERS)) for i, f in enumerate(LETTERS) for c in (chr(97 + i), chr(65 + i))}
+_SHARES = {name: [sum(_class(c) == k for c in a) / len(a) for k in range(4)] for name, a in ENCODINGS}
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -82,26 +91,52 @@ def _normal(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
+def chi_squared(x: np.ndarray, k: int) -> float:
+    """Of symbols against the uniform distribution over k."""
+    return float((np.bincount(x, minlength=k).astype(float) ** 2).sum()) * k / len(x) - len(x)
+
+
 def uniformity(x: np.ndarray, k: int) -> float:
     """Upper p-value of chi-squared over an alphabet of k symbols (Wilson and Hilferty's cube root)."""
-    n = len(x)
-    stat = float((np.bincount(x, minlength=k).astype(float) ** 2).sum()) * k / n - n
-    d = k - 1
+    stat, d = chi_squared(x, k), k - 1
     z = ((stat / d) ** (1 / 3) - (1 - 2 / (9 * d))) / math.sqrt(2 / (9 * d)) if stat > 0 else -8.0
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
-def runs(x: np.ndarray, k: int) -> float:
-    """Two-sided p-value of the number of runs above and below the middle of the alphabet."""
-    up = x >= k / 2
-    a = int(up.sum())
-    b = len(x) - a
-    if not a or not b:
+def below(stat: float, d: int, off: float) -> float:
+    """P(X <= stat) of a chi-squared X with d degrees of freedom and non-centrality off (Sankaran's power)."""
+    if stat <= 0:
         return 0.0
-    n = a + b
-    mean = 1 + 2 * a * b / n
-    var = (mean - 1) * (mean - 2) / (n - 1)
-    return _normal((1 + int((up[1:] != up[:-1]).sum()) - mean) / math.sqrt(var)) if var > 0 else 1.0
+    s = d + off
+    h = 1 - 2 / 3 * s * (d + 3 * off) / (d + 2 * off) ** 2
+    q = (d + 2 * off) / s**2
+    m = (h - 1) * (1 - 3 * h)
+    z = ((stat / s) ** h - (1 + h * q * (h - 1 - 0.5 * (2 - h) * m * q))) / (h * math.sqrt(2 * q) * (1 + 0.5 * m * q))
+    return 0.5 * math.erfc(-z / math.sqrt(2))
+
+
+def changes(kinds: np.ndarray) -> int:
+    """Neighbours of different classes: one fewer than runs."""
+    return int((kinds[1:] != kinds[:-1]).sum())
+
+
+def runs(kinds: np.ndarray, shares: list[float]) -> float:
+    """Two-sided p-value of the number of runs of classes that have these shares of the alphabet."""
+    n = len(kinds) - 1
+    q = 1 - sum(p * p for p in shares)
+    if n < 1 or q == 0:
+        return 1.0
+    near = sum(p * (1 - p) ** 2 for p in shares) - q * q
+    var = n * q * (1 - q) + 2 * (n - 1) * near
+    return _normal((changes(kinds) - n * q) / math.sqrt(var)) if var > 0 else 1.0
+
+
+def at_least(t: int, n: int, q: float) -> float:
+    """P(T >= t) of a binomial T."""
+    if t <= 0:
+        return 1.0
+    log = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(q) + (n - i) * math.log(1 - q) for i in range(t, n + 1)]
+    return min(1.0, math.fsum(map(math.exp, log)))
 
 
 def serial(x: np.ndarray) -> float:
@@ -114,42 +149,44 @@ def serial(x: np.ndarray) -> float:
     return _normal((float((c[1:] * c[:-1]).sum()) / v + 1 / n) * math.sqrt(n))
 
 
-def randomness(token: str, encoding: str) -> float:
-    """Fisher's combination of the three tests: small where the token doesn't look random."""
-    index = _INDEX[encoding]
-    x = np.array([index[c] for c in token])
-    stat = -2 * sum(math.log(max(p, 1e-300)) for p in (uniformity(x, len(index)), runs(x, len(index)), serial(x)))
-    h = stat / 2
-    return math.exp(-h) * (1 + h + h * h / 2)
+def fisher(*ps: float) -> float:
+    """Fisher's combination of independent p-values."""
+    h = -sum(math.log(max(p, 1e-300)) for p in ps)
+    term, total = 1.0, 1.0
+    for k in range(1, len(ps)):
+        term *= h / k
+        total += term
+    return math.exp(-h) * total
 
 
-def identifier_p(token: str, encoding: str) -> float:
-    """A p-value for the null of an ordinary identifier: the inverse likelihood ratio of uniform symbols against written names."""
-    log_null, before = 0.0, None
-    for c in token:
-        kind = _class(c)
-        log_null += math.log(0.25 if before is None else STAY if kind == before else (1 - STAY) / 3)
-        log_null += _WRITTEN[c] if kind < 2 else math.log(0.1 if kind == 2 else 0.25)
-        before = kind
-    ratio = -len(token) * math.log(len(_INDEX[encoding])) - log_null
-    return min(1.0, math.exp(-ratio)) if ratio > -700 else 1.0
+def battery(token: str, encoding: str) -> tuple[float, float]:
+    """Combined p-values of a candidate: under randomness (small: it isn't random), and under the null of a written name (small: it isn't a name)."""
+    index, shares = _INDEX[encoding], _SHARES[encoding]
+    k, n = len(index), len(token)
+    x, kinds = np.array([index[c] for c in token]), np.array([_class(c) for c in token])
+    random = fisher(uniformity(x, k), runs(kinds, shares), serial(x))
+    tails = [below(chi_squared(x, k), k - 1, n * ORDINARY * max(0.0, k * SAME - 1))]
+    if 1 - sum(p * p for p in shares) > CHANGES:  # in others names change class as often as random symbols
+        tails.append(at_least(changes(kinds), n - 1, CHANGES))
+    return random, fisher(*tails)
 
 
 def random_spans(text: str, taken: list[tuple[int, int, int]], level: float = 1e-4, reject: float = 1e-3) -> list[tuple[int, int, int]]:
     """Spans of kind `random`. level: of false discoveries; reject: the battery's level for 'not random'."""
     found = []
     for m in CANDIDATE.finditer(text):
-        token = m[0].rstrip("=")
-        if not (any(c.isdigit() for c in token) and any(c.isalpha() for c in token)):
-            continue
         if any(a < m.end() and m.start() < z for a, _, z in taken):
             continue
+        token = m[0].rstrip("=")
         encoding = infer(token)
-        if encoding and randomness(token, encoding) >= reject:
-            found.append((identifier_p(token, encoding), m.start(), m.end()))
-    found.sort()
-    most = max((i for i, f in enumerate(found, 1) if f[0] <= level * i / len(found)), default=0)
-    return [(a, 3, z) for _, a, z in found[:most]]
+        if encoding:
+            random, name = battery(token, encoding)
+            found.append((name if random >= reject else 1.0, len(token), m.start(), m.end()))
+    # weights that are 1 on average: of equal evidence the longer candidate's counts more
+    mean = sum(f[1] for f in found) / len(found) if found else 1.0
+    ranked = sorted((p * mean / n, a, z) for p, n, a, z in found)
+    most = max((i for i, f in enumerate(ranked, 1) if f[0] <= level * i / len(ranked)), default=0)
+    return [(a, 3, z) for _, a, z in ranked[:most]]
 
 
 def scan(text: str | None) -> list[tuple[int, int, int]]:
