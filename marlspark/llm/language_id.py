@@ -27,11 +27,13 @@ PAD = 256
 #: At once in a matrix product: small enough for the cache of a core.
 BLOCK = 48
 
-_letter = re.compile(r"[^\W\d_]")
+#: What may be a letter: of these, those of category L are.
+_word = re.compile(r"[^\W\d_]+")
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _letter.search(text) is not None
+    """A character of Unicode's category L; numbers like ² or Ⅷ are none."""
+    return bool(text) and any(c.isalpha() for m in _word.finditer(text) for c in m[0])
 
 
 def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

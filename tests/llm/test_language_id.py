@@ -28,3 +28,35 @@ def test_odd_rows(odd, empty):
     assert {r.lang_pred for r in rows if r.doc_id in (1, 2, 3)} == {"und"}
     assert L.query(empty).count() == 0
     assert {(r.lang_pred, r.score) for r in L.identify(odd, None).collect()} == {("und", 0.0)}
+
+
+def test_letters():
+    import sys
+    import unicodedata
+
+    for i in range(sys.maxunicode + 1):
+        c = chr(i)
+        if not 0xD800 <= i < 0xE000:
+            assert L.has_letter(c) == unicodedata.category(c).startswith("L"), hex(i)
+    assert not L.has_letter("²½①Ⅷ 12_") and L.has_letter("²½a") and not L.has_letter(None)
+
+
+def test_predictions_equal_plain_loops(spark, docs):
+    """Every filter at every place, maxima, softmax, and the mean over windows, one number after another."""
+    model = L.train(docs.filter("doc_id % 2 = 0"), per_language=60)
+    some = docs.filter("length(text) < 900").orderBy("doc_id").limit(6)
+    got = {r.doc_id: r for r in L.identify(some, model).collect()}
+    for r in some.collect():
+        raw, total, mean = r.text.encode(), 0, np.zeros(len(model.classes))
+        for at in range(0, len(raw), L.WINDOW):
+            part = raw[at : at + L.WINDOW]
+            e = np.array([model.embed[b] for b in part] + [model.embed[L.PAD]] * (L.WINDOW - len(part)), np.float64)
+            h = np.zeros(model.n)
+            for f in range(model.n):
+                best = max(sum(float(e[i + k] @ model.filters[k * model.dim : (k + 1) * model.dim, f]) for k in range(model.span)) for i in range(L.WINDOW - model.span + 1))
+                h[f] = max(best + model.shift[f], 0)
+            s = np.exp(h @ model.dense + model.bias)
+            mean += len(part) * s / s.sum()
+            total += len(part)
+        mean /= total
+        assert got[r.doc_id].lang_pred == model.classes[int(mean.argmax())] and abs(got[r.doc_id].score - mean.max()) < 1e-3
