@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, ngram_lm, ogg, packing, quality_classifier, quality_rules, revisit, secret_scan, sentencepiece_codec, simhash
+from . import importance, language_id, ngram_lm, ogg, packing, prefix_trie, quality_classifier, quality_rules, revisit, secret_scan, sentencepiece_codec, simhash
 
 
 def tokenizer(name: str) -> str:
@@ -58,10 +58,21 @@ def op10_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.query(_table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.query(_table(spark, sf_dir, "conversations"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_sentencepiece, op3_secret_scan, op4_simhash, op5_packing, op6_ogg_media, op7_quality_rules, op8_quality_classifier, op9_warc_revisit, op10_ngram_lm)
-}
+    for f in (
+        op1_language_id, op2_sentencepiece, op3_secret_scan, op4_simhash, op5_packing, op6_ogg_media, op7_quality_rules, op8_quality_classifier, op9_warc_revisit, op10_ngram_lm,
+        op12_prefix_trie, op13_importance,
+    )
+}
 
 #: DuckDB SQL where it can express a query.
-ORACLE_SQL: dict[str, str] = {"op9_warc_revisit": revisit.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op9_warc_revisit": revisit.ORACLE_SQL, "op13_importance": importance.ORACLE_SQL}
