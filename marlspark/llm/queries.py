@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import importance, language_id, ngram_lm, ogg, packing, prefix_trie, quality_classifier, quality_rules, revisit, secret_scan, sentencepiece_codec, simhash
+from . import importance, language_id, ngram_lm, ogg, packing, pii, prefix_trie, quality_classifier, quality_rules, revisit, secret_scan, sentencepiece_codec, simhash
 
 
 def tokenizer(name: str) -> str:
@@ -58,6 +58,10 @@ def op10_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.query(_table(spark, sf_dir, "documents"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.query(_table(spark, sf_dir, "documents"), pii.labelled(spark))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.query(_table(spark, sf_dir, "conversations"))
 
@@ -70,7 +74,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_sentencepiece, op3_secret_scan, op4_simhash, op5_packing, op6_ogg_media, op7_quality_rules, op8_quality_classifier, op9_warc_revisit, op10_ngram_lm,
-        op12_prefix_trie, op13_importance,
+        op11_pii, op12_prefix_trie, op13_importance,
     )
 }
 
