@@ -299,6 +299,7 @@ SENTENCES = (
     "Call me at {phone} tomorrow.", "Tel: {phone}", "fax {phone}", "Ring {phone} after five", "Reach us under {phone}.", "llame al {phone} hoy", "appelez le {phone}", "phone {phone}, mobile {phone}", "She said {phone} and left",
     "The server {ip} is down", "ping {ip}", "host {ip} port 8080", "blocked client {ip}.", "from {ip} to {ip}", "adresse IP {ip} gesperrt", "servidor {ip} caído",
     "Card number {card} expires 12/27", "pay with visa {card}", "{card}", "mastercard: {card}", "Karte {card} wurde belastet", "tarjeta {card}", "la carte {card} est refusée",
+    "lorem ipsum {ip} dolor sit amet", "and so on {email} and so forth", "quelque part {phone} ou ailleurs", "irgendwo {card} im Text", "Sed ut {email}, perspiciatis", "en el texto {ip} sin más", "these words {phone} those words", "here {card} there", "over {email} under", "word. {ip} Word again",
     "mail {email} please", "ask {email} today", "it went to {email} and {email} by mistake", "meet us at the dot com fair", "look at the dot on it", "a dot at the end of a line",
     "The report of 2024-01-15 has 312 pages.", "On 15.01.2024 at 10:45:30 it began", "Version 1.2.3 and 4.0.12 are out", "It costs $1,234.56 or 1.234,56 EUR", "Between 1999-2004 and 2010-2015", "Order #123456 of 20 items", "ISBN 978-3-16-148410-0 in print",
     "See section 3.4.1 and page 12", "at 52.5200, 13.4050 on the map", "1. first 2. second 3. third", "We met at the station at 9", "The dot com years at large", "1024x768 pixels, 24 bit", "p = 0.05, n = 1200", "about 1 000 000 people in 2020", "Mix 250 g at 180 degrees for 45 minutes",
