@@ -143,7 +143,7 @@ def look_up(asked: DataFrame, cached: DataFrame, as_of: Column, ttl_hours: Colum
     from .fuzzy import best_matches
 
     exact = cached_search(asked, cached, as_of, ttl_hours).select("id", "query_id", F.lit(100).alias("score"))
-    fresh = cached.filter(F.unix_timestamp(as_of) - F.unix_timestamp("at") <= ttl_hours * 3600)
+    fresh = cached.filter(age_days(as_of, F.col("at")) * 24 <= ttl_hours)
     rest = asked.join(exact.select("id"), "id", "left_anti")
     fuzzy = best_matches(rest.select("id", "query"), fresh.select(F.col("query_id").alias("id"), "query"), threshold)
     return exact.unionByName(fuzzy.select("id", F.col("match_id").alias("query_id"), "score"))

@@ -101,7 +101,7 @@ def time_filter(period: Column, start: Column, end: Column) -> Column:
     day = lambda d: F.date_format(d, "MM/dd/yyyy")
     return (
         F.when(period.isin("day", "week", "month", "year"), F.concat(F.lit("qdr:"), F.substring(period, 1, 1)))
-        .when((period == "custom") & start.isNotNull() & end.isNotNull(), F.concat(F.lit("cdr:1,cd_min:"), day(start), F.lit(",cd_max:"), day(end)))
+        .when((period == "custom") & start.isNotNull() & end.isNotNull(), F.concat(F.lit("cd_min:"), day(start), F.lit(",cd_max:"), day(end)))
         .otherwise(F.lit(None).cast("string"))
     )
 

@@ -82,7 +82,7 @@ def outcome_totals(spark, sf_dir):
 
 
 @query(
-    """SELECT event_id, CASE event_type WHEN 'view' THEN 'qdr:d' WHEN 'click' THEN 'qdr:w' WHEN 'error' THEN 'cdr:1,cd_min:' || strftime(ts, '%m/%d/%Y') || ',cd_max:' || strftime(ts + INTERVAL 1 DAY, '%m/%d/%Y') END AS tbs,
+    """SELECT event_id, CASE event_type WHEN 'view' THEN 'qdr:d' WHEN 'click' THEN 'qdr:w' WHEN 'error' THEN 'cd_min:' || strftime(ts, '%m/%d/%Y') || ',cd_max:' || strftime(ts + INTERVAL 1 DAY, '%m/%d/%Y') END AS tbs,
     10 * (1 + (user_id % 2)::INT + (user_id % 3 = 0)::INT) + 10 * (user_id % 5 = 0)::INT AS total FROM events"""
 )
 def search_parameters(spark, sf_dir):

@@ -74,11 +74,48 @@ def query_variants(spark, sf_dir):
     )
 
 
-@query()
+def sql_alike(threshold: int) -> str:
+    """CTEs to `alike`: query, match, ratio of distinct strings of asked (query) and cached (query) at or above the threshold.
+
+    The longest common subsequence comes from one word of bits for each 120 characters of the cached
+    string (four at most), a step for each character of the asked one; counts of letters rule most pairs out before.
+    """
+    letters = "string_split('abcdefghijklmnopqrstuvwxyz ', '')"
+    words = range(4)
+    ones = f"((1::HUGEINT << {120}) - 1)"
+    masks = ", ".join(f"coalesce(bit_or(1::HUGEINT << ((k - 1) % 120)) FILTER ((k - 1) // 120 = {w}), 0) AS m{w}" for w in words)
+    start = ", ".join(f"{ones} AS v{w}" for w in words)
+    sums = "SELECT *, v0 + (v0 & c0) AS s0 FROM u"
+    for w in words[1:]:
+        sums = f"SELECT *, v{w} + (v{w} & c{w}) + (s{w - 1} >> 120) AS s{w} FROM ({sums})"
+    after = ", ".join(f"(s{w} & {ones}) | (v{w} - (v{w} & c{w})) AS v{w}" for w in words)
+    step = f"SELECT query, match, n, m, i + 1 AS i, v0, v1, v2, v3, {', '.join(f'coalesce(m{w}, 0) AS c{w}' for w in words)} FROM steps LEFT JOIN mask ON mask.of = match AND mask.c = substr(query, i + 1, 1) WHERE i < n"
+    zeros = " + ".join(f"bit_count(v{w} & ((1::HUGEINT << greatest(least(m - {120 * w}, 120), 0)) - 1))::INT" for w in words)
+    return f"""qa AS (SELECT DISTINCT query, length(query) AS n, list_transform({letters}, lambda c: length(query) - length(replace(query, c, ''))) AS bag FROM asked WHERE query IS NOT NULL),
+    qb AS (SELECT DISTINCT query AS match, length(query) AS m, list_transform({letters}, lambda c: length(query) - length(replace(query, c, ''))) AS other FROM cached WHERE query IS NOT NULL),
+    mask AS MATERIALIZED (SELECT match AS of, c, {masks} FROM (SELECT match, unnest(string_split(match, '')) AS c, generate_subscripts(string_split(match, ''), 1) AS k FROM qb) GROUP BY ALL),
+    fit AS (SELECT query, match, n, m FROM qa JOIN qb ON 200 * least(n, m) >= {threshold} * (n + m) WHERE list_sum(list_transform(list_zip(bag, other), lambda z: abs(z[1] - z[2]))) <= (n + m) - {threshold / 100} * (n + m) + 1e-6),
+    steps AS (SELECT query, match, n, m, 0 AS i, {start} FROM fit UNION ALL SELECT query, match, n, m, i, {after} FROM ({sums.replace('FROM u', f'FROM ({step})')})),
+    alike AS (SELECT * FROM (SELECT query, match, CASE WHEN n + m = 0 THEN 100.0 ELSE 200.0::DOUBLE * (m - ({zeros})) / (n + m) END AS ratio FROM steps WHERE i = n) WHERE ratio >= {threshold})"""
+
+
+#: A typo for each first turn: another word, a word fewer, a letter that never comes, words more.
+_TYPO = r"""CASE conv_id % 4 WHEN 0 THEN regexp_replace(query, '^\S+', 'find') WHEN 1 THEN regexp_replace(query, '\s\S+$', '') WHEN 2 THEN replace(query, 'e', '') ELSE query || ' please tell me' END"""
+
+
+@query(
+    f"""WITH RECURSIVE c AS (SELECT conv_id, turn, {_QUERY_SQL} AS query FROM conversations WHERE role = 'user'),
+    asked AS (SELECT conv_id || '/' || turn AS id, CASE WHEN turn = 0 THEN {_TYPO} ELSE query END AS query FROM c), cached AS (SELECT conv_id::VARCHAR AS id, query FROM c WHERE turn = 0),
+    {sql_alike(85)}, owner AS (SELECT query AS match, min(id) AS match_id FROM cached GROUP BY 1),
+    best AS (SELECT query, match_id, ratio, row_number() OVER (PARTITION BY query ORDER BY ratio DESC, match_id) AS r FROM alike JOIN owner USING (match))
+    SELECT id, match_id, floor(ratio)::INT AS score, 1 AS rank FROM asked JOIN best USING (query) WHERE r = 1"""
+)
 def query_fuzzy_best(spark, sf_dir):
-    """Each later user turn's most similar first turn, by the similarity of insertions and deletions."""
+    """The most similar first turn of every user turn, by the similarity of insertions and deletions; first turns are asked with a typo."""
     c = table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", T.normalize_query(F.col("text")).alias("query"))
-    asked = c.filter("turn > 0").select(F.concat_ws("/", "conv_id", "turn").alias("id"), "query")
+    q, kind = F.col("query"), F.col("conv_id") % 4
+    typo = F.when(kind == 0, F.regexp_replace(q, r"^\S+", "find")).when(kind == 1, F.regexp_replace(q, r"\s\S+$", "")).when(kind == 2, F.replace(q, F.lit("e"), F.lit(""))).otherwise(F.concat(q, F.lit(" please tell me")))
+    asked = c.select(F.concat_ws("/", "conv_id", "turn").alias("id"), F.when(F.col("turn") == 0, typo).otherwise(q).alias("query"))
     cached = c.filter("turn = 0").select(F.col("conv_id").cast("string").alias("id"), "query")
     return fuzzy.best_matches(asked, cached)
 
@@ -141,11 +178,11 @@ def doc_short_hash(spark, sf_dir):
 
 @query(
     """SELECT doc_id, substr(text, 1, 10) || '<highlight>' || substr(text, 11, 30) || '</highlight>' || substr(text, 41) AS marked,
-    replace(replace(replace(replace(replace(replace(substr(text, 1, 50), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;'), chr(10), '<br>') AS escaped FROM documents"""
+    replace(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;'), chr(10), '<br>') AS escaped FROM documents"""
 )
 def highlighted(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", T.highlight(F.col("text"), F.lit(10), F.lit(40)).alias("marked"), T.escape_html(F.substring("text", 1, 50)).alias("escaped"))
+    return d.select("doc_id", T.highlight(F.col("text"), F.lit(10), F.lit(40)).alias("marked"), T.escape_html(F.col("text")).alias("escaped"))
 
 
 @query(

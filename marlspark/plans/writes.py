@@ -19,7 +19,7 @@ from ..sources.tables import as_of, embeddings, events, pages, pdf_spans, table,
 from .layout import _SPANS
 from .scoring import _BODIES, _MARKED, marked_pages
 from .store import _QUEUE, _RETRIES
-from .web import _QUERY_SQL, _WORDS, SQL_PAGES
+from .web import _QUERY_SQL, _WORDS, SQL_PAGES, sql_alike
 
 _NOW = f"TIMESTAMP '{AS_OF}'"
 _HASH = r"""sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'),
@@ -48,13 +48,21 @@ def search_analysed(spark, sf_dir):
     return C.save_analyses(old, s.filter("query_id % 3 = 0").select("query_id", F.concat(F.lit("about "), i).alias("analysis"), (i % 5).alias("n_analysed")))
 
 
-@query()
+@query(
+    rf"""WITH RECURSIVE c AS (SELECT conv_id, turn, {_QUERY_SQL} AS text FROM conversations WHERE role = 'user'),
+    searches AS (SELECT conv_id AS query_id, text AS query, TIMESTAMP '2024-01-31' + INTERVAL (conv_id % 48) HOUR AS made FROM c WHERE turn = 0),
+    asks AS (SELECT conv_id || '/' || turn AS id, CASE WHEN conv_id % 2 = 0 THEN regexp_replace(text, '\s\S+$', '') ELSE text END AS query FROM c),
+    fresh AS (SELECT * FROM searches WHERE TIMESTAMP '{AS_OF}' - made <= INTERVAL 24 HOUR),
+    exact AS (SELECT id, arg_max(query_id, (made, query_id)) AS query_id, 100 AS score FROM asks JOIN fresh USING (query) GROUP BY id),
+    asked AS (SELECT * FROM asks WHERE id NOT IN (SELECT id FROM exact)), cached AS (SELECT query FROM fresh), {sql_alike(90)},
+    owner AS (SELECT query AS match, min(query_id) AS query_id FROM fresh GROUP BY 1), best AS (SELECT query, query_id, ratio, row_number() OVER (PARTITION BY query ORDER BY ratio DESC, query_id) AS r FROM alike JOIN owner USING (match))
+    SELECT * FROM exact UNION ALL SELECT id, query_id, floor(ratio)::INT AS score FROM asked JOIN best USING (query) WHERE r = 1"""
+)
 def search_looked_up(spark, sf_dir):
-    """User turns against the first turns' searches: exact hits of a day, else fuzzy ones."""
+    """User turns against the first turns' searches: exact hits of a day, else fuzzy ones. Every other conversation asks one word less."""
     c = table(spark, sf_dir, "conversations").filter("role = 'user'").select(F.concat_ws("/", "conv_id", "turn").alias("id"), "conv_id", "turn", T.normalize_query(F.col("text")).alias("query"), F.lit("{}").alias("settings"))
     at = F.timestamp_micros(F.lit(1706659200000000) + F.col("conv_id") % 48 * F.lit(3600000000))
     cached = c.filter("turn = 0").select(F.col("conv_id").alias("query_id"), "query", "settings", at.alias("at"))
-    # asked once more, one word shorter
     asked = c.select("id", F.when(F.col("conv_id") % 2 == 0, F.regexp_replace("query", r"\s\S+$", "")).otherwise(F.col("query")).alias("query"), "settings")
     return C.look_up(asked, cached, as_of(), F.lit(24), 90)
 

@@ -23,6 +23,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[context.applicationId]
 
 
+def bounded(spark: SparkSession, most: str = "4m") -> None:
+    """Bound Arrow batches by bytes, unless the session has a bound already: rows can be long, so that their number bounds nothing."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, most)
+
+
 def _store(spark: SparkSession, path: str):
     """The path and the file system that has it."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -187,3 +187,27 @@ def test_result_lists(spark):
     assert sorted((r.url, r.title) for r in matching.flatten_results(df).collect()) == [("", "U"), ("http://a", "T"), ("http://r", "R (PDF)")]
     ddg = spark.createDataFrame([("T", "http://h", None, "b"), ("E", "", "", "x")], "title string, href string, url string, body string")
     assert [tuple(r) for r in matching.rename_results(ddg).collect()] == [("T", "http://h", "b")]
+
+
+def test_fuzzy_matches_of_all_lengths_equal_all_pairs(spark):
+    """At every threshold, by segments or by blocks, in small blocks too: no pair is lost and none is repeated."""
+    rng = random.Random(1)
+    words = ["alpha", "beta", "gamma", "no", "x", "query", "find", "é🤗", "the"]
+    cached = [" ".join(rng.choice(words) for _ in range(rng.randrange(9))) for _ in range(80)] + ["".join(rng.choice("abcdefgh ij") for _ in range(rng.randrange(50, 300))) for _ in range(15)]
+
+    def typo(t):
+        for _ in range(rng.randrange(4)):
+            i = rng.randrange(len(t) + 1)
+            t = t[:i] + rng.choice(["q", "", "", " "]) + t[i + rng.randrange(2) :]
+        return t
+
+    asked = [typo(rng.choice(cached)) for _ in range(80)] + [typo(c) for c in cached[-15:]]
+    a, b = (spark.createDataFrame([(x,) for x in rows] + [(None,)], "query string") for rows in (asked, cached))
+    kept = fuzzy.BLOCK, fuzzy.ASKED
+    try:
+        for threshold, fuzzy.BLOCK, fuzzy.ASKED in ((60, 7, 5), (85, 16, 4), (97, 1024, 128)):
+            want = sorted((x, y) for x in set(asked) for y in set(cached) if fuzzy.ratio(x, y) >= threshold)
+            assert sorted((r.query, r.match) for r in fuzzy.matches(a, b, threshold).collect()) == want
+    finally:
+        fuzzy.BLOCK, fuzzy.ASKED = kept
+    assert fuzzy.matches(a.limit(0), b, 85).count() == 0
