@@ -167,3 +167,38 @@ def merge_by_index(cached: DataFrame, processed: DataFrame) -> DataFrame:
     """Results that were cached and those that were processed, without heavy columns, in the order they were asked in."""
     heavy = ("full_extraction", "document", "pages", "chunks")
     return cached.drop(*heavy).unionByName(processed.drop(*heavy), allowMissingColumns=True).orderBy("index")
+
+
+def mark_staleness(urls: DataFrame, marks: DataFrame, as_of: Column) -> DataFrame:
+    """urls (url, published_at, cache_state, revalidate_after) after marks (url, cache_state, revalidate_after): without a time of its own, a mark holds for a day where the page is younger than 30 days, else for a week."""
+    from ..functions.dates import revalidate_after
+
+    new = marks.select("url", F.col("cache_state").alias("_s"), F.col("revalidate_after").alias("_r"), F.lit(True).alias("_marked"))
+    j = urls.join(new, "url", "left")
+    at = F.when(F.col("_marked"), F.coalesce("_r", revalidate_after(F.col("published_at"), as_of))).otherwise(F.col("revalidate_after"))
+    return j.select("url", "published_at", F.when(F.col("_marked"), F.col("_s")).otherwise(F.col("cache_state")).alias("cache_state"), at.alias("revalidate_after"))
+
+
+def pdf_records(attempts: DataFrame, texts: DataFrame, most_failures: int = 2, preview: int = 1000, days: int = 30) -> DataFrame:
+    """Of each URL with processing attempts (url, event: complete or fail, at, event_id, error): flags, preview, next validation, failures.
+
+    texts: url, text. A success keeps the first `preview` characters and is valid for `days`; a failure keeps the last error and
+    leaves what a success before it had extracted.
+    """
+    folded = fold_attempts(attempts, "complete", "fail")
+    order = F.struct("at", "event_id")
+    ok, bad = F.col("event") == "complete", F.col("event") == "fail"
+    last = attempts.groupBy("url").agg(F.max(F.when(ok, F.col("at"))).alias("extracted_at"), F.max_by("error", F.when(bad, order)).alias("error"))
+    j = folded.join(last, "url").join(texts, "url", "left")
+    had, good = F.col("extracted_at").isNotNull(), F.col("state") == "success"
+    return j.select(
+        "url", had.alias("extracted"), good.alias("processed"), "failures", (~good & (F.col("failures") >= most_failures)).alias("given_up"),
+        F.when(~good, F.col("error")).alias("error"), F.when(had, F.substring("text", 1, preview)).alias("preview"), F.when(had, F.length("text")).alias("n_chars"),
+        F.when(good, F.timestamp_add("DAY", F.lit(days), F.col("at"))).alias("revalidate_after"),
+    )
+
+
+def failed_records(records: DataFrame, n: int | None = None) -> DataFrame:
+    """Records whose last attempt failed, most failures first. Equal numbers go by url."""
+    found = records.filter(~F.col("processed")).orderBy(F.col("failures").desc(), "url")
+    return found if n is None else found.limit(n)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -176,3 +177,32 @@ def chunk_list(nested: DataFrame, key: str, content: str = "content") -> DataFra
 def page_union(a: Column, b: Column) -> Column:
     """Page numbers of merged chunks: each once, in order."""
     return F.array_sort(F.array_union(a, b))
+
+
+def batches(rows: DataFrame, doc: str, order: str, n_chars: str, most: int = 500, chars: int = 25_000) -> DataFrame:
+    """doc, order, n_chars and batch_no (from 0 in each document): a batch ends before it would hold more than `most` rows or `chars` characters; a longer row is a batch alone.
+
+    A document's rows are read in order, and only its running sums are kept between Arrow batches. A null length counts as 0.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    ordered = rows.select(doc, order, n_chars).repartition(doc).sortWithinPartitions(doc, order)
+    schema = ordered.select("*", F.lit(0).alias("batch_no")).schema
+    names, kinds = schema.names, to_arrow_schema(schema).types
+
+    def run(arrow):
+        last, batch, items, total = object(), 0, 0, 0
+        for b in arrow:
+            out = []
+            for d, n in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                n = n or 0
+                if d != last:
+                    last, batch, items, total = d, 0, 0, 0
+                elif items >= most or total + n > chars:
+                    batch, items, total = batch + 1, 0, 0
+                items, total = items + 1, total + n
+                out.append(batch)
+            columns = [*b.columns, pa.array(out, pa.int32())]
+            yield pa.RecordBatch.from_arrays([c.cast(k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    return ordered.mapInArrow(run, schema)

@@ -101,6 +101,47 @@ def test_queue_and_windows_on_a_stream(spark, tmp_path):
     assert spark.table("w").count() == windows.tumbling(df, "1 hour").count()
 
 
+EVENT = "event_id bigint, url string, event string, at timestamp, doc_type string"
+
+
+def _streamed(spark, tmp_path, batches, **conf):
+    """The batches of a stream's updates, one file of events each."""
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, EVENT).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{i}"))
+    stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    seen = []
+    stream_queue.run_available(stream_queue.queue_updates(stream, **conf), lambda batch, _: seen.append(batch.collect()), str(tmp_path / "c")).awaitTermination(200)
+    return seen
+
+
+def test_stream_takes_events_in_their_own_order(spark, tmp_path):
+    """Events shuffled over five batches end as the batch fold has them."""
+    rows = [(i, url, event, at, "pdf") for i, url, event, at, _ in _events(300)]
+    mixed = rows[:]
+    random.Random(7).shuffle(mixed)
+    seen = _streamed(spark, tmp_path, [mixed[i::5] for i in range(5)], delay="30 days")
+    last = {r.url: (r.status, r.retry_count, r.added_at, r.updated_at) for batch in seen for r in batch}
+    assert last == _folded([(i, url, event, at, 0) for i, url, event, at, _ in rows])
+
+
+def test_stream_puts_back_and_forgets(spark, tmp_path):
+    day = lambda n: datetime(2024, 1, 1) + timedelta(days=n)
+    batches = [
+        [(1, "a", "enqueue", day(0), "pdf"), (2, "a", "start", day(0.1), "pdf"), (3, "b", "enqueue", day(0), "html"), (4, "b", "complete", day(0.2), "html")],
+        [(5, "c", "enqueue", day(2), None)],
+        [(6, "c", "touch", day(20), None)],
+        [(7, "b", "enqueue", day(40), "html")],
+    ]
+    seen = [r for batch in _streamed(spark, tmp_path, batches, delay="1 hour", stuck_hours=6, keep_days=7) for r in batch]
+    of = lambda url: [r.status for r in seen if r.url == url]
+    assert of("a")[0] == "processing" and of("a")[-1] == "pending" and [r.updated_at for r in seen if r.url == "a"][-1] == day(0.1) + timedelta(hours=6)
+    assert "expired" in of("b") and of("b")[-1] == "pending" and [r.added_at for r in seen if r.url == "b"][-1] == day(40)
+    taken = {}
+    last = stream_queue.newest(spark.createDataFrame([r for r in seen], stream_queue.OUTPUT))
+    stream_queue.dispatch(last, {k: lambda df, k=k: taken.update({k: sorted(r.url for r in df.collect())}) for k in ("pdf", "html")})
+    assert taken == {"pdf": ["a", "c"], "html": ["b"]}
+
+
 def test_cache_rules(spark):
     one = spark.range(1)
     lit = lambda v: F.lit(v).cast("string")
