@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import layout, live, scoring, state, store, web, writes  # noqa: F401
+from .plans import feeds, layout, live, scoring, state, store, web, writes  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -22,6 +22,7 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
     return local.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_local")).drop("_part", "_local", "_before")
 
 
-def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
-    """The first n rows of each key by an order with a tie-break."""
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_r") <= n).drop("_r")
+def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int = 1, rank: str | None = None) -> DataFrame:
+    """The first n rows of each key by an order with a tie-break; with their rank, if it has a name."""
+    found = df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_r") <= n)
+    return found.withColumnRenamed("_r", rank) if rank else found.drop("_r")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import bounded
+from .ranking import top_per_key
+
 
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -67,3 +72,75 @@ def embedding_states(old: DataFrame, events: DataFrame) -> DataFrame:
 def to_embed(documents: DataFrame, states: DataFrame) -> DataFrame:
     """Documents to embed: those never embedded, and those that failed; not those in work or done."""
     return documents.join(states.filter("status IN ('processing', 'completed')").select("url"), "url", "left_anti")
+
+
+def _as_blocks(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """ids and matrix (unit vectors, as bytes of doubles) of at most `most` rows each, from Arrow batches as they come. Null vectors are left out; one without a length stays zero."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, most):
+                b = batch.slice(at, most)
+                b = b.filter(b.column(1).is_valid())
+                if b.num_rows:
+                    m = np.array(b.column(1).to_pylist(), np.float64)
+                    n = np.sqrt((m * m).sum(1, keepdims=True))
+                    m = np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+                    yield pa.RecordBatch.from_arrays([pa.array([b.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([m.tobytes()], pa.binary())], names=["ids", "matrix"])
+
+    return rows.select(F.col(key).cast("bigint").alias("id"), "embedding").mapInArrow(run, "ids array<bigint>, matrix binary")
+
+
+def search_many(queries: DataFrame, chunks: DataFrame, limit: int = 20, threshold: float | None = None, block: int = 512, key: str = "chunk_id") -> DataFrame:
+    """query_id, rank, key and similarity of the `limit` chunks nearest to each of many queries (query_id, embedding), without a chunk of the query's own id.
+
+    Vectors are read once, in blocks; a block meets each block of queries as one matrix product. A task keeps
+    `limit` hits of each query of the block that it is at, so that what is merged is queries times tasks. Query
+    blocks are joined, not broadcast, in several copies where there are fewer of them than partitions. Equal similarities go by key.
+    """
+    spark = chunks.sparkSession
+    bounded(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, -(-queries.count() // block))
+    copies = max(1, -(-n // parts))
+    q = queries.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int")).filter("embedding IS NOT NULL")
+    q = q.groupBy("part").agg(F.collect_list(F.struct(F.col("query_id").cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("v"))).alias("q"))
+    q = q.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    v = _as_blocks(chunks, key, 4096).withColumn("copy", F.pmod(F.xxhash64(F.get("ids", 0)), F.lit(copies)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    met = v.join(q, ["part", "copy"]).select("part", "q", "ids", "matrix").sortWithinPartitions("part")
+    names = ["query_id", key, "similarity"]
+
+    def best(scores: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(scores) > limit:
+            least = np.partition(scores, len(scores) - limit)[len(scores) - limit]
+            ids, scores = ids[scores >= least], scores[scores >= least]
+        order = np.lexsort((ids, -scores))[:limit]
+        return scores[order], ids[order]
+
+    def run(batches):
+        part, own, matrix, kept = None, [], None, []
+
+        def out():
+            rows = [(i, k, s) for i, (ss, ks) in zip(own, kept, strict=True) for s, k in zip(ss.tolist(), ks.tolist(), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=names)
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["part"] != part:
+                    if part is not None:
+                        yield out()
+                    part, own = row["part"], [x["id"] for x in row["q"]]
+                    matrix = np.array([x["v"] for x in row["q"]])
+                    norm = np.sqrt((matrix * matrix).sum(1, keepdims=True))
+                    matrix = np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)
+                    kept = [(np.zeros(0), np.zeros(0, np.int64))] * len(own)
+                ids = np.array(row["ids"], np.int64)
+                scores = np.round(matrix @ np.frombuffer(row["matrix"], np.float64).reshape(len(ids), -1).T, 6) + 0.0
+                for j, me in enumerate(own):
+                    mine = ids != me if threshold is None else (ids != me) & (scores[j] >= threshold)
+                    kept[j] = best(np.concatenate([kept[j][0], scores[j][mine]]), np.concatenate([kept[j][1], ids[mine]]))
+        if part is not None:
+            yield out()
+
+    hits = met.mapInArrow(run, f"query_id bigint, {key} bigint, similarity double")
+    return top_per_key(hits, ["query_id"], [F.col("similarity").desc(), F.col(key)], limit, "rank")

@@ -105,3 +105,15 @@ def word_overlap(spark, sf_dir):
 def block_cleaning(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     return p.select("p_partkey", T.is_artifact(F.col("p_name")).alias("artifact"), T.clean_block(F.col("p_name")).alias("cleaned"))
+
+
+@query(
+    """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS l FROM v),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_dot_product(q.e, c.e) / (q.l * c.l), 6) AS similarity FROM n q JOIN n c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS rank FROM s) SELECT query_id, chunk_id, similarity, rank FROM r WHERE rank <= 10"""
+)
+def vectors_nearest(spark, sf_dir):
+    """The ten nearest chunks of every chunk whose id 50 divides, among all chunks."""
+    e = embeddings(spark, sf_dir)
+    asked = e.filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+    return V.search_many(asked, e, 10)
