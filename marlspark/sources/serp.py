@@ -82,7 +82,10 @@ def _batches(paths: tuple[str, ...], kinds: tuple[str, ...], queries: frozenset
 
 
 class SerpReader(DataSourceReader):
-    """Answers' files, a partition each. Filters on kind and query (equal, or one of several) are taken on where spark.sql.python.filterPushdown.enabled is set; only the schema's columns are made."""
+    """Answers' files, a partition each. Filters on kind and query (equal, or one of several) are taken on where spark.sql.python.filterPushdown.enabled is set; only the schema's columns are made.
+
+    Spark keeps a loaded source's reader with the filters that it was given first: with that setting, load the source anew for each filter.
+    """
 
     def __init__(self, options: dict, schema):
         self.path, self.kinds, self.queries, self.names = options["path"], PROVIDERS[provider(options.get("provider"))], None, list(schema.names)

@@ -27,13 +27,13 @@ def test_filters_are_pushed_and_columns_chosen(spark, answers):
     spark.dataSource.register(serp.SerpSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     try:
-        df = spark.read.format("serp").load(f"{answers}/*.jsonl")
-        some = df.filter("kind = 'news' AND query IN ('q1', 'q7') AND position = 0")
+        load = lambda: spark.read.format("serp").load(f"{answers}/*.jsonl")
+        some = load().filter("kind = 'news' AND query IN ('q1', 'q7') AND position = 0")
         assert sorted(r.link for r in some.collect()) == ["http://n/1", "http://n/3"]
         plan = some._jdf.queryExecution().executedPlan().toString()
         left = [line for line in plan.splitlines() if "Filter" in line and "BatchScan" not in line]
         assert left and not any("kind#" in line or "q1" in line for line in left)  # Spark is left with the position, and whether a query is null
-        assert df.filter("kind = 'videos' AND kind = 'news'").count() == 0 and df.count() == 8
+        assert load().filter("kind = 'videos' AND kind = 'news'").count() == 0 and load().count() == 8
     finally:
         spark.conf.unset("spark.sql.python.filterPushdown.enabled")
     two = spark.read.format("serp").schema("link string, position int").load(f"{answers}/*.jsonl")
