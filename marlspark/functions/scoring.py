@@ -120,17 +120,19 @@ def schema_points(html: Column, article: Column) -> Column:
     return F.when(article, 20).when(F.contains(F.lower(meta_content(html, "og:type")), F.lit("article")), 15).otherwise(0)
 
 
-def is_article(html: Column) -> Column:
-    """A JSON-LD item of an article type, in any script."""
-    from .dates import json_ld_items
+def is_article(items: Column) -> Column:
+    """Of a page's JSON-LD items one of an article type, in any script."""
+    return F.exists(items, lambda v: F.coalesce(F.contains(F.try_variant_get(v, "$['@type']", "string"), F.lit("Article")), F.lit(False)))
 
-    return F.exists(json_ld_items(html), lambda v: F.coalesce(F.contains(F.try_variant_get(v, "$['@type']", "string"), F.lit("Article")), F.lit(False)))
 
-
-def element_value(html: Column, tags: tuple[str, ...], attribute: str, value: str, *first: str) -> Column:
-    """Of the first of these elements with an attribute that matches: the first attribute of `first` and content that isn't empty, else its text."""
+def element(html: Column, tags: tuple[str, ...], attribute: str, value: str) -> Column:
+    """The first of these elements with an attribute that matches. Project it, so that a page is searched once for each attribute."""
     mark = rf"""(?:\s|\s[^>]*\s){attribute}=["'](?:{value})["'][^>]*>"""
-    found = F.regexp_extract(html, "(?is)" + "|".join(f"<{t}{mark}" + ("" if t == "meta" else f".*?</{t}>") for t in tags), 0)
+    return F.regexp_extract(html, "(?is)" + "|".join(f"<{t}{mark}" + ("" if t == "meta" else f".*?</{t}>") for t in tags), 0)
+
+
+def element_value(found: Column, *first: str) -> Column:
+    """Of an element: the first attribute of `first` and content that isn't empty, else its text."""
     of = lambda a: F.nullif(F.trim(F.regexp_extract(found, rf"""(?is)^<[^>]*\s{a}=["']([^"']*)["']""", 1)), F.lit(""))
     inner = F.trim(F.regexp_replace(F.regexp_replace(found, r"(?s)<[^>]*>", " "), r"(?U)\s+", " "))
     return F.coalesce(*[of(a) for a in (*first, "content")], inner)
@@ -138,33 +140,58 @@ def element_value(html: Column, tags: tuple[str, ...], attribute: str, value: st
 
 #: Where authors and dates stand in pages, as (attribute, pattern of its value), in order.
 AUTHORS = (("class", "[^\"']*(?:author|byline|writer)[^\"']*"), ("rel", "author"), ("itemprop", "author"), ("name", "author"))
+#: Of each of these patterns words in lower case of which a page that it matches has one.
+AUTHOR_WORDS = (("author", "byline", "writer"), ("author",), ("author",), ("author",))
+DATE_WORDS = (("datepublished",), ("published_time",), ("published_time",), ("publishdate",), ("date", "time", "publish"))
 DATES = (("itemprop", "datePublished"), ("property", "article:published_time"), ("name", "article:published_time"), ("name", "publishdate"), ("class", "[^\"']*(?:date|time|publish)[^\"']*"))
 
 
-def byline_points(html: Column) -> Column:
-    """An author of two words or more, one of them capitalised, in one of the usual places."""
+def _elements(html: Column, low: Column, tags: tuple[str, ...], places: tuple, hints: tuple) -> list[Column]:
+    """Only a page with one of a pattern's words (in `low`, the page in lower case) is searched by it."""
+    return [F.when(any_of(low, some), element(html, tags, attribute, value)).otherwise("") for (attribute, value), some in zip(places, hints, strict=True)]
+
+
+def byline_elements(html: Column, low: Column) -> list[Column]:
+    return _elements(html, low, ("span", "div", "p", "a", "meta"), AUTHORS, AUTHOR_WORDS)
+
+
+def date_elements(html: Column, low: Column) -> list[Column]:
+    return _elements(html, low, ("time", "span", "div", "meta"), DATES, DATE_WORDS)
+
+
+def named_points(authors: list[Column]) -> Column:
+    """An author of two words or more, one of them capitalised, among elements' values."""
 
     def named(author: Column) -> Column:
         w = words(author)
         return (F.size(w) >= 2) & F.exists(w, lambda x: x.rlike(r"^\p{Lu}"))
 
     hit = F.lit(False)
-    for attribute, value in AUTHORS:
-        hit = hit | named(element_value(html, ("span", "div", "p", "a", "meta"), attribute, value))
+    for author in authors:
+        hit = hit | named(author)
     return F.when(hit, 10).otherwise(0)
 
 
-def recent_points(html: Column, as_of: Column) -> Column:
-    """A date not older than two years in one of the usual places: ISO before a T, else the first ten characters by the usual formats."""
+def dated_points(dates: list[Column], as_of: Column) -> Column:
+    """A date not older than two years among elements' values: ISO before a T, else the first ten characters by the usual formats."""
     since, hit = as_of - F.expr("INTERVAL 730 DAYS"), F.lit(False)
-    for attribute, value in DATES:
-        raw = element_value(html, ("time", "span", "div", "meta"), attribute, value, "datetime")
+    for raw in dates:
         iso = F.try_to_timestamp(F.substring_index(raw, "T", 1), F.lit("yyyy-MM-dd"))
         written = F.coalesce(*[F.try_to_timestamp(F.substring(raw, 1, 10), F.lit(f)) for f in ("yyyy-MM-dd", "yyyy/MM/dd", "MMMM d, yyyy", "d MMMM yyyy", "yyyy")])
         hit = hit | F.coalesce(F.when(F.contains(raw, F.lit("T")), iso).otherwise(written) >= since, F.lit(False))
     return F.when(hit, 10).otherwise(0)
 
 
+def byline_points(html: Column) -> Column:
+    """named_points of a page's elements, in one expression."""
+    return named_points([element_value(e) for e in byline_elements(html, F.lower(html))])
+
+
+def recent_points(html: Column, as_of: Column) -> Column:
+    """dated_points of a page's elements, in one expression."""
+    return dated_points([element_value(e, "datetime") for e in date_elements(html, F.lower(html))], as_of)
+
+
 def canonical_points(canonical_host: Column, own_host: Column) -> Column:
     return F.when((canonical_host != "") & (canonical_host == own_host), 8).otherwise(0)
 

@@ -120,17 +120,21 @@ _MARKED = f"""marked AS (SELECT page_id, url, CASE WHEN page_id % 9 = 0 THEN rep
 
 def html_signals(p):
     """Of pages (page_id, url, html) the text and every signal of the rubric."""
-    html, u = F.col("html"), F.col("url")
-    p = p.select(
+    html, u, low = F.col("html"), F.col("url"), F.col("low")
+    p = p.withColumn("low", F.lower(html)).select(
         "page_id", "url", "html", page_text(html).alias("text"), page_lines(html).alias("lines"), F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"),
-        S.main_region(html).alias("region"), S.is_article(html).alias("article"),
+        S.main_region(html).alias("region"), D.json_ld_items(html).alias("ld"),
+        *[c.alias(f"author{i}") for i, c in enumerate(S.byline_elements(html, low))], *[c.alias(f"date{i}") for i, c in enumerate(S.date_elements(html, low))],
     )
-    p = p.withColumn("n_words", T.word_count(F.col("text")))
+    # projected one after another: an expression that stands in several places is not evaluated in each
+    authors, dates = [f"author{i}" for i in range(len(S.AUTHORS))], [f"date{i}" for i in range(len(S.DATES))]
+    p = p.withColumns({"n_words": T.word_count(F.col("text")), "article": S.is_article(F.col("ld"))} | {a: S.element_value(F.col(a)) for a in authors} | {d: S.element_value(F.col(d), "datetime") for d in dates})
+    own = lambda names: [F.col(n) for n in names]
     canonical = F.regexp_extract(html, r"""(?is)<link[^>]*rel=["']canonical["'][^>]*href=["']([^"']*)["']""", 1)
     t, title, article = F.col("text"), F.col("title"), F.col("article")
     return p.select(
-        "page_id", U.normalize_url(u).alias("url"), "title", "n_words", T.normalize_text(t).alias("text"), "html", "article",
-        S.schema_points(html, article).alias("schema"), S.byline_points(html).alias("byline"), S.recent_points(html, as_of()).alias("date"), S.canonical_points(U.host(canonical), U.host(u)).alias("canonical"),
+        "page_id", U.normalize_url(u).alias("url"), "title", "n_words", T.normalize_text(t).alias("text"), "html", "article", F.size("ld").alias("n_items"),
+        S.schema_points(html, article).alias("schema"), S.named_points(own(authors)).alias("byline"), S.dated_points(own(dates), as_of()).alias("date"), S.canonical_points(U.host(canonical), U.host(u)).alias("canonical"),
         S.length_points(F.col("n_words")).alias("length"), S.quote_points(t).alias("quotes"), S.wire_points(t).alias("wire"), S.entity_points(t).alias("entities"),
         S.roundup_points(title).alias("roundup"), S.link_points(F.col("region"), F.col("n_words")).alias("links"), S.pagination_points(u, html).alias("pagination"),
         S.clickbait_points(title).alias("clickbait"), S.domain_points(F.lower(U.authority(u))).alias("domain"),
@@ -223,7 +227,7 @@ def nlp_scores(p):
     flesch, lexicon = F.when(long, S.readability(text)["flesch"]), F.when(long, F.col("n_words")).otherwise(0)
     marks = F.length(title) - F.length(F.translate(title, "!?", ""))
     nlp = S.nlp_score(
-        F.size(D.json_ld_items(html)) > 0, html.rlike(r"""(?i)property=["']og:"""), F.col("article"), S.any_of(label, S.NEWS_WORDS), S.any_of(label, S.SPAM_WORDS), caps, S.headline_hits(title), marks, flesch, T.wire_hits(text) > 0, lexicon,
+        F.col("n_items") > 0, html.rlike(r"""(?i)property=["']og:"""), F.col("article"), S.any_of(label, S.NEWS_WORDS), S.any_of(label, S.SPAM_WORDS), caps, S.headline_hits(title), marks, flesch, T.wire_hits(text) > 0, lexicon,
     )
     return s.withColumn("nlp", nlp)
 

@@ -82,14 +82,25 @@ def _batches(paths: tuple[str, ...], kinds: tuple[str, ...], queries: frozenset
 
 
 class SerpReader(DataSourceReader):
-    """Answers' files, a partition each. Filters on kind and query (equal, or one of several) are taken on where spark.sql.python.filterPushdown.enabled is set; only the schema's columns are made.
-
-    Spark keeps a loaded source's reader with the filters that it was given first: with that setting, load the source anew for each filter.
-    """
+    """Answers' files, a partition each; only the schema's columns are made."""
 
     def __init__(self, options: dict, schema):
         self.path, self.kinds, self.queries, self.names = options["path"], PROVIDERS[provider(options.get("provider"))], None, list(schema.names)
 
+    def partitions(self) -> list[InputPartition]:
+        return [_Files([p]) for p in sorted(glob.glob(self.path))] if self.kinds else []
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        return _batches(partition.value, self.kinds, self.queries, self.names)
+
+
+class FilteringReader(SerpReader):
+    """Takes filters on kind and query (equal, or one of several) on itself.
+
+    Spark refuses such a reader unless spark.sql.python.filterPushdown.enabled is set, so that the option `push` asks for it. It also
+    keeps a loaded source's reader with the filters that it was given first: load the source anew for each filter.
+    """
+
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
             wanted = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
@@ -100,12 +111,6 @@ class SerpReader(DataSourceReader):
             elif not (isinstance(f, IsNotNull) and f.attribute == ("kind",)):  # a kind is never null
                 yield f
 
-    def partitions(self) -> list[InputPartition]:
-        return [_Files([p]) for p in sorted(glob.glob(self.path))] if self.kinds else []
-
-    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        return _batches(partition.value, self.kinds, self.queries, self.names)
-
 
 class SerpStreamReader(DataSourceStreamReader):
     """New files of answers. An offset is the number of files in order of their time and name; a file must appear whole, with a time not before others'."""
@@ -146,7 +151,7 @@ class SerpSource(DataSource):
         return "query string, kind string, position int, link string, title string, snippet string"
 
     def reader(self, schema) -> SerpReader:
-        return SerpReader(self.options, schema)
+        return (FilteringReader if self.options.get("push") == "true" else SerpReader)(self.options, schema)
 
     def streamReader(self, schema) -> SerpStreamReader:
         return SerpStreamReader(self.options, schema)

@@ -27,7 +27,7 @@ def test_filters_are_pushed_and_columns_chosen(spark, answers):
     spark.dataSource.register(serp.SerpSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     try:
-        load = lambda: spark.read.format("serp").load(f"{answers}/*.jsonl")
+        load = lambda: spark.read.format("serp").option("push", "true").load(f"{answers}/*.jsonl")
         some = load().filter("kind = 'news' AND query IN ('q1', 'q7') AND position = 0")
         assert sorted(r.link for r in some.collect()) == ["http://n/1", "http://n/3"]
         plan = some._jdf.queryExecution().executedPlan().toString()
