@@ -519,11 +519,16 @@ def fit(docs: DataFrame, k: float = K, least: int = LEAST, shards: int | None =
 
     def contexts(batches):
         for b in batches:
-            for i, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for s, i, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 ids, n = np.frombuffer(i, np.int64), np.frombuffer(c, np.int64)
                 yield _parts(ids.astype(np.uint64), n, np.searchsorted(edges, ids, side="right"))
+                # an id beyond the vocabulary tells that this shard has pairs
+                yield _parts(np.array([vocabulary + s], np.uint64), np.ones(1, np.int64), np.array([s]))
 
     def build_backoff(s, ids, n):
+        told = ids >= vocabulary
+        held = (ids[told].astype(np.int64) - vocabulary).tobytes()
+        ids, n = ids[~told], n[~told]
         _, counts = model.words().shard(s)
         left = np.asarray(counts, np.float64).copy()
         own = ids.astype(np.int64) - firsts[s]
@@ -533,9 +538,10 @@ def fit(docs: DataFrame, k: float = K, least: int = LEAST, shards: int | None =
         # a context that keeps pairs is told by a weight below 1
         weight[own] = np.maximum(weight[own], 1)
         files.write(f"backoff-{s}", dump({"weight": weight}))
-        return (s,)
+        return s, held
 
-    done = {r[0] for r in _gather(kept.mapInArrow(contexts, _PART), build_backoff, "shard int", shards).collect()}
+    rows = _gather(kept.mapInArrow(contexts, _PART), build_backoff, "shard int, held binary", shards).collect()
+    done, with_pairs = {r[0] for r in rows}, {int(x) for r in rows for x in np.frombuffer(r[1], np.int64)}
     for s in range(shards):
         if s not in done and own[s]:
             spare = model.words().shard(s)[1]
@@ -545,11 +551,10 @@ def fit(docs: DataFrame, k: float = K, least: int = LEAST, shards: int | None =
         scale = model.tokens + model.distinct + 1
         for b in batches:
             for s in b.column(0).to_pylist():
-                try:
+                keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                if s in with_pairs:  # a file that is missing fails the task
                     a = load(between.open(f"kept-{s}"))
                     keys, n = a["keys"], a["n"]
-                except FileNotFoundError:
-                    keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
                 u, w = (keys >> width).astype(np.int64), (keys & np.uint64((1 << int(width)) - 1)).astype(np.int64)
                 first = np.flatnonzero(np.r_[True, u[1:] != u[:-1]]) if len(u) else np.zeros(0, np.int64)
                 rank = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(u)]))
@@ -567,7 +572,7 @@ def fit(docs: DataFrame, k: float = K, least: int = LEAST, shards: int | None =
                 files.write(f"pairs-{s}", dump(arrays))
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32())], names=["shard"])
 
-    spark.range(0, shards, 1, min(shards, 64)).select(F.col("id").cast("int").alias("shard")).mapInArrow(trie, "shard int").count()
+    spark.range(0, shards, 1, shards).select(F.col("id").cast("int").alias("shard")).mapInArrow(trie, "shard int").count()
     drop(spark, counts_folder)
     return model
 

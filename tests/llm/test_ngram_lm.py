@@ -62,3 +62,27 @@ def test_odd_rows(odd, empty):
     assert len(rows) == odd.count() and all(r.score <= 0 and r.n_tokens >= 1 for r in rows)
     assert L.query(empty).count() == 0
     assert L.score(odd, L.fit(empty)).filter("base_score <> 0 OR score <> 0 OR n_known <> 0").count() == 0
+
+
+def test_a_lost_shard_fails(docs, monkeypatch):
+    """A shard of pairs that is gone before the trie is built is an error, not a model without its pairs."""
+    import glob
+    import os
+
+    gather, path, folders = L._gather, L.fresh_path, []
+
+    class Loses:
+        def __init__(self, df):
+            self.df = df
+
+        def collect(self):
+            rows = self.df.collect()
+            files = glob.glob(f"{L.Files(folders[-1]).root}/kept-*")
+            assert files
+            os.remove(files[0])
+            return rows
+
+    monkeypatch.setattr(L, "fresh_path", lambda spark, name: folders.append(path(spark, name)) or folders[-1])
+    monkeypatch.setattr(L, "_gather", lambda df, build, schema, n: Loses(gather(df, build, schema, n)) if "held" in schema else gather(df, build, schema, n))
+    with pytest.raises(Exception, match="FileNotFoundError|No such file"):
+        L.fit(docs)
