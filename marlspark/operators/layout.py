@@ -66,17 +66,18 @@ def top_sizes(spans: DataFrame, n: int = 10) -> DataFrame:
 
 def classify(spans: DataFrame, longest: int = 200, title_least: int = 10) -> DataFrame:
     """Block types by quartile bands between the body size and the title size (the largest size above it with a text of ten characters)."""
-    top = top_sizes(spans).select(F.col("doc_id"), F.col("size").alias("g"), F.lit(True).alias("top"))
-    body = top_sizes(spans).filter("rank = 1").select("doc_id", F.col("size").alias("body_pt"))
-    s = spans.withColumn("g", grid(F.col("size"))).join(body, "doc_id").join(top, ["doc_id", "g"], "left")
-    title = s.filter((F.col("g") > F.col("body_pt")) & F.col("top") & (F.length(F.trim("text")) >= title_least)).groupBy("doc_id").agg(F.max("g").alias("title_pt"))
-    s = s.join(title, "doc_id", "left")
+    top = top_sizes(spans).select("doc_id", F.col("size").alias("g"), "rank")
+    s = spans.withColumn("g", grid(F.col("size"))).join(top, ["doc_id", "g"], "left")
+    doc = Window.partitionBy("doc_id")
+    s = s.withColumn("body_pt", F.max(F.when(F.col("rank") == 1, F.col("g"))).over(doc))
+    large = (F.col("g") > F.col("body_pt")) & F.col("rank").isNotNull() & (F.length(F.trim("text")) >= title_least)
+    s = s.withColumn("title_pt", F.max(F.when(large, F.col("g"))).over(doc))
     g, b, t = F.col("g"), F.col("body_pt"), F.col("title_pt")
     r = (g - b) / (t - b)
     n = F.length(F.trim("text"))
     band = F.when(r > 0.75, "heading1").when(r > 0.5, "heading2").when(r > 0.25, "heading3").otherwise("heading4")
     kind = (
-        F.when(F.col("top").isNull(), F.when(F.abs(g - b) <= 0.5, "paragraph").otherwise("subtext"))
+        F.when(F.col("rank").isNull(), F.when(F.abs(g - b) <= 0.5, "paragraph").otherwise("subtext"))
         .when(n > longest, "paragraph")
         .when((F.abs(g - t) < 0.01) & (n >= title_least), "title")
         .when(F.abs(g - b) <= 0.25, "paragraph")
@@ -168,3 +169,42 @@ def header_footer(blocks: DataFrame, margin: float = 8.0, recurrence: float = 60
     if not single_pages:
         again = again & (F.col("n_pages") > 1)
     return b.select("doc_id", "page_no", "block_no", "text", ((t != "") & (at_edge | F.coalesce(again, F.lit(False)))).alias("is_header_footer"))
+
+
+_TEXTS = ("title", "heading1", "heading2", "heading3", "heading4", "paragraph", "subtext")
+
+
+def nested(blocks: DataFrame) -> DataFrame:
+    """doc_id and content, an array of sections (section_id, headers, chunks: array of (chunk_id, page_no, char_count, blocks: array of (block_no, type, size, text))), from blocks (doc_id, page_no, span_no, type, size, text).
+
+    A section is a stack of headers and what follows it up to the next one; its chunks are its pages', numbered
+    through the document. Blocks, chunks and sections are gathered level by level, so that a row is never more than one document.
+    """
+    from .chunking import _islands
+
+    b = blocks.filter(F.col("type").isin(*_TEXTS))
+    head = F.col("type").isin(*_TEXTS[:5])
+    s = _islands(b, ["doc_id"], ["page_no", "span_no"], head, ["doc_id"])
+    block = F.struct(F.col("span_no").alias("block_no"), "type", "size", "text")
+    c = s.groupBy("doc_id", "island", "page_no").agg(
+        F.array_sort(F.collect_list(block)).alias("blocks"), F.sum(F.length("text")).cast("int").alias("char_count"), F.array_sort(F.collect_list(F.when(head, F.struct("span_no", "text")))).alias("heads"),
+    )
+    c = c.withColumn("chunk_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("island", "page_no")))
+    chunk = F.struct("chunk_id", "page_no", "char_count", "blocks", "heads")
+    one = c.groupBy("doc_id", "island").agg(F.array_sort(F.collect_list(chunk)).alias("c"))
+    one = one.select(
+        "doc_id", F.col("island").alias("section_id"), F.flatten(F.transform("c", lambda x: F.transform(x["heads"], lambda h: h["text"]))).alias("headers"),
+        F.transform("c", lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["page_no"].alias("page_no"), x["char_count"].alias("char_count"), x["blocks"].alias("blocks"))).alias("chunks"),
+    )
+    return one.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section_id", "headers", "chunks"))).alias("content"))
+
+
+def diagnostics(blocks: DataFrame, n: int = 10) -> DataFrame:
+    """Of each document (doc_id): its ten sizes with most characters as (size, chars), the number of sizes and of characters, and blocks by type (a map)."""
+    sizes = blocks.groupBy("doc_id", grid(F.col("size")).alias("size")).agg(F.sum(F.length("text")).alias("chars"))
+    s = sizes.groupBy("doc_id").agg(
+        F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("chars")).alias("less"), "size"))), 1, n), lambda x: F.struct(x["size"].alias("size"), (-x["less"]).alias("chars"))).alias("top_sizes"),
+        F.count(F.lit(1)).alias("n_sizes"), F.sum("chars").alias("n_chars"),
+    )
+    types = blocks.groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("block_counts"))
+    return s.join(types, "doc_id")

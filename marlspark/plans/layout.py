@@ -90,19 +90,50 @@ def font_top10_body(spark, sf_dir):
     return L.top_sizes(pdf_spans(spark, sf_dir))
 
 
-@query(
-    f"""WITH {_TOP}, b AS (SELECT doc_id, size AS body FROM top WHERE rank = 1), s AS (SELECT p.*, round_even(p.size * 4, 0) / 4 AS g, b.body, t.rank FROM spans p JOIN b ON b.doc_id = p.doc_id LEFT JOIN top t ON t.doc_id = p.doc_id AND t.size = round_even(p.size * 4, 0) / 4 AND t.rank <= 10),
+_TYPED = f"""{_TOP}, b AS (SELECT doc_id, size AS body FROM top WHERE rank = 1), s AS (SELECT p.*, round_even(p.size * 4, 0) / 4 AS g, b.body, t.rank FROM spans p JOIN b ON b.doc_id = p.doc_id LEFT JOIN top t ON t.doc_id = p.doc_id AND t.size = round_even(p.size * 4, 0) / 4 AND t.rank <= 10),
     y AS (SELECT *, max(CASE WHEN g > body AND rank IS NOT NULL AND length(trim(text)) >= 10 THEN g END) OVER (PARTITION BY doc_id) AS title FROM s),
-    z AS (SELECT doc_id, CASE WHEN rank IS NULL THEN CASE WHEN abs(g - body) <= 0.5 THEN 'paragraph' ELSE 'subtext' END WHEN length(trim(text)) > 200 THEN 'paragraph'
+    z AS (SELECT doc_id, page_no, span_no, text, size, CASE WHEN rank IS NULL THEN CASE WHEN abs(g - body) <= 0.5 THEN 'paragraph' ELSE 'subtext' END WHEN length(trim(text)) > 200 THEN 'paragraph'
       WHEN abs(g - title) < 0.01 AND length(trim(text)) >= 10 THEN 'title' WHEN abs(g - body) <= 0.25 THEN 'paragraph' WHEN g <= body - 1 THEN 'subtext'
       WHEN g > body AND g < title THEN CASE WHEN g > body + (title - body) * 0.75 THEN 'heading1' WHEN g > body + (title - body) * 0.5 THEN 'heading2' WHEN g > body + (title - body) * 0.25 THEN 'heading3' ELSE 'heading4' END
-      ELSE 'paragraph' END AS type FROM y)
-    SELECT doc_id, type, count(*) AS n FROM z GROUP BY ALL"""
-)
+      ELSE 'paragraph' END AS type FROM y)"""
+
+
+@query(f"WITH {_TYPED} SELECT doc_id, type, count(*) AS n FROM z GROUP BY ALL")
 def block_types(spark, sf_dir):
     return L.classify(pdf_spans(spark, sf_dir)).groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    f"""WITH {_TYPED}, l AS (SELECT *, type = 'title' OR starts_with(type, 'heading') AS head, lag(type = 'title' OR starts_with(type, 'heading')) OVER (PARTITION BY doc_id ORDER BY page_no, span_no) AS prev FROM z),
+    isl AS (SELECT *, sum(CASE WHEN prev IS NULL OR (head AND NOT prev) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY page_no, span_no ROWS UNBOUNDED PRECEDING) AS section_id FROM l),
+    ch AS (SELECT doc_id, section_id, page_no, trim(string_agg(text, ' ' ORDER BY span_no)) AS text, sum(length(text))::INT AS n_chars FROM isl GROUP BY ALL)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY section_id, page_no)::INT AS chunk_id, text, len({_WORDS.format(t='text')})::INT AS n_words, n_chars FROM ch"""
+)
+def pdf_nested_chunks(spark, sf_dir):
+    """Documents nested as sections, chunks and blocks, and read back as a list of chunks."""
+    return C.chunk_list(L.nested(L.classify(pdf_spans(spark, sf_dir))), "doc_id")
+
+
+@query(
+    f"""WITH {_TYPED}, l AS (SELECT *, type = 'title' OR starts_with(type, 'heading') AS head, lag(type = 'title' OR starts_with(type, 'heading')) OVER (PARTITION BY doc_id ORDER BY page_no, span_no) AS prev FROM z),
+    isl AS (SELECT *, sum(CASE WHEN prev IS NULL OR (head AND NOT prev) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY page_no, span_no ROWS UNBOUNDED PRECEDING) AS section_id FROM l),
+    n AS (SELECT doc_id, count(DISTINCT section_id) AS n_sections, count(DISTINCT (section_id, page_no)) AS n_chunks, count(*) FILTER (WHERE head) AS n_headers FROM isl GROUP BY doc_id),
+    t AS (SELECT doc_id, string_agg(type || '=' || k, ';' ORDER BY type) AS block_counts FROM (SELECT doc_id, type, count(*) AS k FROM z GROUP BY ALL) GROUP BY doc_id),
+    q AS (SELECT doc_id, string_agg(size::VARCHAR || '=' || n, ';' ORDER BY rank) FILTER (WHERE rank <= 10) AS top_sizes, count(*) AS n_sizes, sum(n)::BIGINT AS n_chars FROM top GROUP BY doc_id)
+    SELECT doc_id, n_sections::INT AS n_sections, n_chunks::INT AS n_chunks, n_headers::INT AS n_headers, block_counts, top_sizes, n_sizes, n_chars FROM n JOIN t USING (doc_id) JOIN q USING (doc_id)"""
+)
+def pdf_diagnostics(spark, sf_dir):
+    """Sizes, types and structure of nested documents."""
+    blocks = L.classify(pdf_spans(spark, sf_dir))
+    content = L.nested(blocks).select(
+        "doc_id", F.size("content").alias("n_sections"), F.size(F.flatten(F.transform("content", lambda s: s["chunks"]))).alias("n_chunks"), F.size(F.flatten(F.transform("content", lambda s: s["headers"]))).alias("n_headers"),
+    )
+    d = L.diagnostics(blocks)
+    counts = F.array_join(F.transform(F.map_entries("block_counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    sizes = F.array_join(F.transform("top_sizes", lambda x: F.concat(x["size"], F.lit("="), x["chars"])), ";")
+    return content.join(d.select("doc_id", counts.alias("block_counts"), sizes.alias("top_sizes"), "n_sizes", "n_chars"), "doc_id")
+
+
 @query(
     f"""WITH {_SPANS}, p AS (SELECT doc_id, count(DISTINCT page_no) AS pages FROM spans GROUP BY doc_id),
     t AS (SELECT doc_id, lower(trim(text)) AS text, count(DISTINCT page_no) AS on_pages FROM spans WHERE length(trim(text)) >= 10 GROUP BY ALL)

@@ -12,6 +12,7 @@ from ..operators import matching as M
 from ..operators import vectors as V
 from ..registry import query
 from ..sources.tables import embeddings, pages, table
+from .scoring import _MARKED, marked_pages
 from .store import _EMB, _first_vector
 from .web import SQL_HOST
 
@@ -22,6 +23,17 @@ def html_features(spark, sf_dir):
     return p.select("page_id", "f.n_articles", "f.n_links", "f.title", "f.rel_next")
 
 
+@query(
+    f"""WITH {_MARKED}, m AS (SELECT page_id, html || CASE WHEN page_id % 5 = 0 THEN '<link rel="next" href="/2">' ELSE '' END AS html FROM marked)
+    SELECT page_id, len(regexp_extract_all(html, '(?i)<article[\\s>]')) AS n_articles, len(regexp_extract_all(html, '(?i)<a\\s[^>]*href=')) AS n_links,
+    replace(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '&amp;', '&') AS title, regexp_matches(html, '(?i)<link[^>]*rel=["'']next["'']') AS rel_next FROM m"""
+)
+def html_features_marked(spark, sf_dir):
+    """The parser's features over pages that have several articles, loud titles and next pages."""
+    p = marked_pages(spark, sf_dir).select("page_id", F.concat("html", F.when(F.col("page_id") % 5 == 0, '<link rel="next" href="/2">').otherwise("")).alias("html"))
+    return p.select("page_id", H.features(F.col("html")).alias("f")).select("page_id", "f.n_articles", "f.n_links", "f.title", "f.rel_next")
+
+
 @query()
 def html_blocks(spark, sf_dir):
     """Blocks of 20 characters or more, numbered, with their section."""
@@ -117,3 +129,13 @@ def vectors_nearest(spark, sf_dir):
     e = embeddings(spark, sf_dir)
     asked = e.filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
     return V.search_many(asked, e, 10)
+
+
+@query(
+    """SELECT event_id, '{' || array_to_string(list_filter(['"country":"' || CASE user_id % 3 WHEN 0 THEN 'us' WHEN 1 THEN 'de' END || '"', '"kind":"' || event_type || '"', CASE WHEN event_id % 2 = 0 THEN '"page":"' || (event_id % 5) || '"' END], lambda x: x IS NOT NULL), ',') || '}' AS settings_key FROM events"""
+)
+def settings_keys(spark, sf_dir):
+    """What a search is cached under: its settings without nulls, in order."""
+    u, i = F.col("user_id"), F.col("event_id")
+    m = F.create_map(F.lit("page"), F.when(i % 2 == 0, (i % 5).cast("string")), F.lit("kind"), F.col("event_type"), F.lit("country"), F.when(u % 3 == 0, "us").when(u % 3 == 1, "de"))
+    return table(spark, sf_dir, "events").select("event_id", M.settings_key(m).alias("settings_key"))

@@ -9,7 +9,7 @@ from ..functions import dates as D
 from ..functions import scoring as S
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators import fuzzy, similarity
+from ..operators import domains, fuzzy, similarity
 from ..registry import query
 from ..sources.tables import pages, table
 
@@ -39,6 +39,27 @@ def url_domains(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", U.registrable_domain(F.col("url")).alias("domain"))
 
 
+_RULES = ", ".join(f"('{r}')" for r in (*U.TWO_LABEL_SUFFIXES, *domains.WILDCARDS))
+
+
+@query(
+    f"""WITH r(rule) AS (SELECT DISTINCT rule FROM (VALUES {_RULES}) v(rule)), p AS (SELECT page_id, {SQL_HOST.format(u='url')} AS h FROM pages),
+    q AS (SELECT page_id, CASE page_id % 8 WHEN 1 THEN h || '.co.uk' WHEN 2 THEN h || '.x.ck' WHEN 3 THEN 'a.www.ck' WHEN 4 THEN h || '.b.kawasaki.jp' WHEN 5 THEN 'c.city.kawasaki.jp' WHEN 6 THEN 'd.kawasaki.jp' WHEN 7 THEN '10.0.0.' || page_id % 200 ELSE h END AS host FROM p),
+    l AS (SELECT page_id, host, string_split(host, '.') AS l FROM q), i AS (SELECT page_id, host, l, unnest(range(1, len(l) + 1)) AS i FROM l),
+    k AS (SELECT page_id, host, l, len(l) - i + 1 AS long, array_to_string(l[i:], '.') AS own, CASE WHEN i < len(l) THEN '*.' || array_to_string(l[i+1:], '.') END AS wild FROM i),
+    m AS (SELECT page_id, max(long) FILTER (WHERE own IN (SELECT rule FROM r) OR wild IN (SELECT rule FROM r)) AS size, max(long) FILTER (WHERE '!' || own IN (SELECT rule FROM r)) - 1 AS but FROM k GROUP BY page_id),
+    s AS (SELECT l.page_id, host, l, coalesce(but, size, 1) AS size, regexp_matches(host, '^[0-9.]+$') AS number FROM l JOIN m ON m.page_id = l.page_id)
+    SELECT page_id, host, CASE WHEN NOT number THEN array_to_string(l[greatest(len(l) - size + 1, 1):], '.') END AS public_suffix, CASE WHEN number THEN host ELSE array_to_string(l[greatest(len(l) - size, 1):], '.') END AS domain FROM s"""
+)
+def host_domains(spark, sf_dir):
+    """Registrable domains of pages' hosts, under suffixes of every kind of rule."""
+    h, i = U.host(F.col("url")), F.col("page_id")
+    under = lambda x: F.concat(h, F.lit(x))
+    host = F.when(i % 8 == 1, under(".co.uk")).when(i % 8 == 2, under(".x.ck")).when(i % 8 == 3, "a.www.ck").when(i % 8 == 4, under(".b.kawasaki.jp")).when(i % 8 == 5, "c.city.kawasaki.jp").when(i % 8 == 6, "d.kawasaki.jp")
+    p = pages(spark, sf_dir).select("page_id", host.when(i % 8 == 7, F.concat(F.lit("10.0.0."), i % 200)).otherwise(h).alias("host"))
+    return p.join(domains.registrable(p, domains.rules(spark)), "host").select("page_id", "host", "public_suffix", "domain")
+
+
 @query("SELECT page_id, CASE WHEN ends_with(lower(url), '.pdf') OR string_split(lower(url), '/')[-1] = 'pdf' THEN 'pdf' ELSE 'html' END AS lane FROM pages")
 def url_lane(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", U.url_lane(F.col("url")).alias("lane"))

@@ -102,3 +102,32 @@ def test_processing_records(spark):
     assert (r["b"].preview, r["b"].extracted, r["b"].processed, r["b"].failures, r["b"].given_up, r["b"].error) == ("short", True, False, 2, True, "e5")
     assert (r["c"].extracted, r["c"].given_up, r["c"].preview) == (False, False, None)
     assert [x.url for x in cache.failed_records(records).collect()] == ["b", "c"]
+
+
+def test_domains_by_rules(spark, tmp_path):
+    from marlspark.operators import domains
+
+    (tmp_path / "rules.dat").write_text("// comment\ncom\nco.uk\n*.ck\n!www.ck\n\nblog.co.uk // private\n*.compute.example\n")
+    rules = domains.rules(spark, str(tmp_path / "rules.dat"))
+    want = {
+        "a.b.com": ("com", "b.com"), "com": ("com", "com"), "x.co.uk": ("co.uk", "x.co.uk"), "y.z.blog.co.uk": ("blog.co.uk", "z.blog.co.uk"), "blog.co.uk": ("blog.co.uk", "blog.co.uk"), "a.b.c.ck": ("c.ck", "b.c.ck"), "c.ck": ("c.ck", "c.ck"),
+        "www.ck": ("ck", "www.ck"), "q.www.ck": ("ck", "www.ck"), "a.unknown": ("unknown", "a.unknown"), "localhost": ("localhost", "localhost"), "10.0.0.1": (None, "10.0.0.1"), "A.B.Com.": ("com", "b.com"), "n.eu.compute.example": ("eu.compute.example", "n.eu.compute.example"),
+    }
+    hosts = spark.createDataFrame([(h,) for h in want] * 2 + [(None,)], "host string")
+    assert {r.host: (r.public_suffix, r.domain) for r in domains.registrable(hosts, rules).collect()} == want
+    assert domains.registrable(hosts, rules.limit(0)).filter("host = 'x.co.uk' AND domain = 'co.uk'").count() == 1
+
+
+def test_nested_documents_and_diagnostics(spark):
+    from marlspark.operators import layout
+
+    rows = [(1, 1, 1, "title", 20.0, "T"), (1, 1, 2, "paragraph", 10.0, "one"), (1, 2, 3, "paragraph", 10.1, "two"), (1, 2, 4, "heading1", 14.0, "H"), (1, 2, 5, "heading2", 12.0, "I"), (1, 3, 6, "subtext", 8.0, "three"), (1, 3, 7, "header_footer", 8.0, "9"), (2, 1, 1, "paragraph", 10.0, "lone")]
+    b = spark.createDataFrame(rows, "doc_id bigint, page_no bigint, span_no bigint, type string, size double, text string")
+    n = {r.doc_id: r.content for r in layout.nested(b).collect()}
+    assert [(s.section_id, s.headers, [(c.chunk_id, c.page_no, c.char_count, [x.text for x in c.blocks]) for c in s.chunks]) for s in n[1]] == [
+        (1, ["T"], [(1, 1, 4, ["T", "one"]), (2, 2, 3, ["two"])]), (2, ["H", "I"], [(3, 2, 2, ["H", "I"]), (4, 3, 5, ["three"])]),
+    ]
+    assert [(s.headers, len(s.chunks)) for s in n[2]] == [([], 1)]
+    assert [(r.chunk_id, r.text) for r in chunking.chunk_list(layout.nested(b), "doc_id").filter("doc_id = 1").orderBy("chunk_id").collect()] == [(1, "T one"), (2, "two"), (3, "H I"), (4, "three")]
+    d = {r.doc_id: r for r in layout.diagnostics(b, 2).collect()}
+    assert [(x.size, x.chars) for x in d[1].top_sizes] == [(8.0, 6), (10.0, 6)] and d[1].block_counts == {"title": 1, "paragraph": 2, "heading1": 1, "heading2": 1, "subtext": 1, "header_footer": 1} and d[1].n_sizes == 5
