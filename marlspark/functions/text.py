@@ -76,22 +76,12 @@ def remove_excessive_whitespace(t: Column) -> Column:
 
 
 def clean_wikipedia_tables(t: Column) -> Column:
-    """Pairs of lines `|key` and `|value` become `key: value`; an odd last one keeps its text."""
-    lines = F.split(t, "\n")
-    state = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("key"))
-
-    def step(a: Column, x: Column) -> Column:
-        cell = F.trim(F.regexp_replace(F.trim(x), r"^\|", ""))
-        bar = F.trim(x).startswith("|")
-        flushed = F.when(a["key"].isNotNull(), F.array_append(a["out"], a["key"])).otherwise(a["out"])
-        return (
-            F.when(bar & a["key"].isNull(), F.struct(a["out"].alias("out"), cell.alias("key")))
-            .when(bar, F.struct(F.array_append(a["out"], F.concat(a["key"], F.lit(": "), cell)).alias("out"), F.lit(None).cast("string").alias("key")))
-            .otherwise(F.struct(F.array_append(flushed, x).alias("out"), F.lit(None).cast("string").alias("key")))
-        )
-
-    done = F.aggregate(lines, state, step, lambda a: F.when(a["key"].isNotNull(), F.array_append(a["out"], a["key"])).otherwise(a["out"]))
-    return F.array_join(done, "\n")
+    """Pairs of lines `|key` and `|value` become `key: value`; an odd last one keeps its text. Linear: cells are trimmed line by line, and one pattern pairs them from the first bar of a run on."""
+    done = "\uffff"  # no character; keeps a pair whose key begins with a bar from being taken again
+    cell = lambda x: F.when(F.trim(x).startswith("|"), F.concat(F.lit("|"), F.trim(F.regexp_replace(F.trim(x), r"^\|", "")))).otherwise(x)
+    bars = F.array_join(F.transform(F.split(t, "\n"), cell), "\n")
+    paired = F.regexp_replace(bars, r"(?dm)^\|(.*)\n\|(.*)$", f"{done}$1: $2")
+    return F.regexp_replace(F.regexp_replace(paired, r"(?dm)^\|", ""), f"(?dm)^{done}", "")
 
 
 def clean_extracted_text(t: Column, source: str = "html") -> Column:

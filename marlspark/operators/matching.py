@@ -82,10 +82,10 @@ def concat_pages(pages: DataFrame, limit: int | None = None) -> DataFrame:
     return first.orderBy("place").limit(limit) if limit else first
 
 
-def outcome_counts(results: DataFrame) -> DataFrame:
-    """Totals by outcome; what waits in the background counts apart."""
+def outcome_counts(results: DataFrame, *by: str) -> DataFrame:
+    """Totals by outcome, over all or by group; what waits in the background counts apart."""
     s = F.col("status")
-    return results.agg(
+    return results.groupBy(*by).agg(
         F.count_if(s == "success").alias("successful"), F.count_if(s == "filtered").alias("filtered"), F.count_if(s.isin("error", "failed")).alias("failed"), F.count_if(s.startswith("background")).alias("deferred"),
     )
 

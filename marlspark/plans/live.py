@@ -139,3 +139,18 @@ def settings_keys(spark, sf_dir):
     u, i = F.col("user_id"), F.col("event_id")
     m = F.create_map(F.lit("page"), F.when(i % 2 == 0, (i % 5).cast("string")), F.lit("kind"), F.col("event_type"), F.lit("country"), F.when(u % 3 == 0, "us").when(u % 3 == 1, "de"))
     return table(spark, sf_dir, "events").select("event_id", M.settings_key(m).alias("settings_key"))
+
+
+@query("SELECT user_id % 10 AS batch, count(*) FILTER (WHERE event_type = 'purchase') AS successful, count(*) FILTER (WHERE event_type = 'view') AS filtered, count(*) FILTER (WHERE event_type = 'error') AS failed, count(*) FILTER (WHERE event_type = 'signup') AS deferred FROM events GROUP BY 1")
+def outcomes_by_batch(spark, sf_dir):
+    names = F.create_map(*[F.lit(x) for x in ("purchase", "success", "view", "filtered", "error", "failed", "signup", "background_queued")])
+    e = table(spark, sf_dir, "events")
+    return M.outcome_counts(e.select((F.col("user_id") % 10).alias("batch"), F.element_at(names, F.col("event_type")).alias("status")), "batch")
+
+
+@query(f"WITH {_EMB} SELECT url, doc_type, chunk_id, similarity FROM s WHERE doc_type = 'pdf' AND similarity >= -0.2 AND string_split(url, '/')[2]::INT % 3 <> 0 ORDER BY similarity DESC, chunk_id LIMIT 15")
+def semantic_filtered(spark, sf_dir):
+    """A search among the chunks of some documents of one type, above a threshold."""
+    e = embeddings(spark, sf_dir)
+    some = e.filter(F.substring_index("url", "/", -1).cast("int") % 3 != 0).select("url").distinct()
+    return V.search(e, _first_vector(spark, sf_dir), 15, threshold=-0.2, doc_type="pdf", urls=some)

@@ -304,3 +304,15 @@ def score_pdf_total(spark, sf_dir):
         S.pdf_words_points(F.col("n")).alias("length_points"), S.pdf_structure_points(F.col("headings")).alias("structure"), S.pdf_density_points(F.col("n"), F.col("pages")).alias("density"),
     )
     return d.withColumn("score", S.clamp(F.expr("metadata + domain_points + length_points + structure + density")))
+
+
+@query(
+    """WITH d AS (SELECT p_partkey AS pdf_id, p_size * p_size * 7 AS n_words, CASE p_size % 4 WHEN 0 THEN 'example.gov' WHEN 1 THEN 'www.NATURE.com' WHEN 2 THEN 'example.org' ELSE 'example.net' END AS domain FROM part)
+    SELECT pdf_id, CASE WHEN ends_with(domain, '.gov') THEN 15 WHEN contains(lower(domain), 'nature.com') THEN 10 WHEN ends_with(domain, '.org') THEN 5 ELSE 0 END AS domain_points,
+    CASE WHEN n_words BETWEEN 600 AND 10000 THEN 12 WHEN n_words >= 300 AND n_words < 600 THEN 8 WHEN n_words > 10000 THEN 4 WHEN n_words < 100 THEN -10 ELSE 2 END AS length_points FROM d"""
+)
+def score_pdf_legacy(spark, sf_dir):
+    """The older rubric's points for domains and lengths."""
+    size = F.col("p_size")
+    domain = F.when(size % 4 == 0, "example.gov").when(size % 4 == 1, "www.NATURE.com").when(size % 4 == 2, "example.org").otherwise("example.net")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pdf_id"), S.pdf_domain_points_v1(domain).alias("domain_points"), S.pdf_length_points_v1(size * size * 7).alias("length_points"))

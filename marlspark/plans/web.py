@@ -141,6 +141,21 @@ def query_fuzzy_best(spark, sf_dir):
     return fuzzy.best_matches(asked, cached)
 
 
+@query(
+    f"""WITH RECURSIVE c AS (SELECT conv_id, turn, {_QUERY_SQL} AS query FROM conversations WHERE role = 'user'),
+    asked AS (SELECT conv_id::VARCHAR AS id, regexp_replace(query, '\\s\\S+$', '') AS query FROM c WHERE turn = 0), cached AS (SELECT conv_id || '/' || turn || '/' || k AS id, CASE k WHEN 0 THEN query WHEN 1 THEN 'who knows ' || query ELSE replace(query, 'n', 'm') END AS query FROM c, range(3) r(k)),
+    {sql_alike(80)}, r AS (SELECT a.id, k.id AS match_id, floor(ratio)::INT AS score, row_number() OVER (PARTITION BY a.id ORDER BY ratio DESC, k.id) AS rank FROM asked a JOIN alike USING (query) JOIN cached k ON k.query = alike.match)
+    SELECT id, match_id, score, rank FROM r WHERE rank <= 3"""
+)
+def query_fuzzy_top(spark, sf_dir):
+    """The three most similar of all turns, two of them worded otherwise, for first turns that are a word shorter."""
+    c = table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", T.normalize_query(F.col("text")).alias("query"))
+    q, k = F.col("query"), F.col("k")
+    asked = c.filter("turn = 0").select(F.col("conv_id").cast("string").alias("id"), F.regexp_replace(q, r"\s\S+$", "").alias("query"))
+    cached = c.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2)))).select(F.concat_ws("/", "conv_id", "turn", "k").alias("id"), F.when(k == 0, q).when(k == 1, F.concat(F.lit("who knows "), q)).otherwise(F.replace(q, F.lit("n"), F.lit("m"))).alias("query"))
+    return fuzzy.best_matches(asked, cached, 80, 3)
+
+
 @query(r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g'), E' \n\t') AS text_normalized FROM documents")
 def text_normalized(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.normalize_text(F.col("text")).alias("text_normalized"))

@@ -211,3 +211,27 @@ def test_fuzzy_matches_of_all_lengths_equal_all_pairs(spark):
     finally:
         fuzzy.BLOCK, fuzzy.ASKED = kept
     assert fuzzy.matches(a.limit(0), b, 85).count() == 0
+
+
+def test_table_cells_are_paired_in_runs(spark):
+    """Against a loop over lines that keeps the key of a pair."""
+
+    def loop(t):
+        out, key = [], None
+        for x in t.split("\n"):
+            bar = x.strip(" ").startswith("|")
+            cell = x.strip(" ")[1:].strip(" ")
+            if bar and key is None:
+                key = cell
+            elif bar:
+                out.append(f"{key}: {cell}")
+                key = None
+            else:
+                out += ([] if key is None else [key]) + [x]
+                key = None
+        return "\n".join(out + ([] if key is None else [key]))
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["|", " ", "a", "b c", "\n", "\n|", "$1", "\r", "é"]) for _ in range(rng.randrange(30))) for _ in range(400)] + ["|k\n" * 200_000]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    assert [r[0] for r in df.select(T.clean_wikipedia_tables(F.col("t"))).collect()] == [loop(t) for t in texts]
