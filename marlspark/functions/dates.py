@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 #: Patterns of visible dates; names of meta tags with a date.
 BYLINE_PATTERNS = (
     r"Published[\s:]+([A-Z][a-z]+\s+\d{1,2},?\s+\d{4})",
@@ -24,9 +26,13 @@ def age_days(as_of: Column, t: Column) -> Column:
 
 
 def parse_date(s: Column) -> Column:
-    """A timestamp from ISO or written dates; null if none fits."""
-    tries = [F.try_to_timestamp(F.initcap(F.regexp_replace(s, r"\s+", " ")), F.lit(f)) for f in _FORMATS]
-    return F.coalesce(F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}[T ]"), F.try_to_timestamp(s)), *tries)
+    """A timestamp from ISO or written dates; null if none fits. What gives the text is evaluated once, however many formats are tried."""
+
+    def tried(v: Column) -> Column:
+        written = F.initcap(F.regexp_replace(v, r"\s+", " "))
+        return F.coalesce(F.when(v.rlike(r"^\d{4}-\d{2}-\d{2}[T ]"), F.try_to_timestamp(v)), let(written, lambda w: F.coalesce(*[F.try_to_timestamp(w, F.lit(f)) for f in _FORMATS])))
+
+    return let(s, tried)
 
 
 def byline_dates(text: Column) -> tuple[Column, Column]:
@@ -61,7 +67,7 @@ def json_ld_items(html: Column) -> Column:
 
 def json_ld_dates(html: Column) -> tuple[Column, Column]:
     """Published and updated by JSON-LD: of the items' own dates the last; the first of a graph only where no item has one."""
-    items = json_ld_items(html)
+    items = json_ld_items(F.when(F.contains(F.lower(html), F.lit("ld+json")), html))
     graphs = F.flatten(F.filter(F.transform(items, lambda v: F.try_variant_get(v, "$['@graph']", "array<variant>")), lambda g: g.isNotNull()))
 
     def found(name: str) -> Column:
@@ -92,14 +98,18 @@ def detect_dates(html: Column, text: Column, http_last_modified: Column, sitemap
     jp, ju = json_ld_dates(html)
     mp, mu = meta_dates(html)
     bp, bu = byline_dates(text)
-    bp, bu = F.array_min(bp), F.array_max(bu)
     source = lambda *c: F.coalesce(*[F.when(x.isNotNull(), n) for n, x in c], F.lit("none"))
-    return F.struct(
-        F.coalesce(jp, mp, bp).alias("published"),
-        source(("jsonld", jp), ("og", mp), ("byline", bp)).alias("published_source"),
-        F.coalesce(ju, mu, bu, http_last_modified, sitemap_lastmod).alias("updated"),
-        source(("jsonld", ju), ("og", mu), ("byline", bu), ("http_last_modified", http_last_modified), ("sitemap", sitemap_lastmod)).alias("updated_source"),
-    )
+
+    def merged(d: Column) -> Column:
+        return F.struct(
+            F.coalesce(d["jp"], d["mp"], d["bp"]).alias("published"),
+            source(("jsonld", d["jp"]), ("og", d["mp"]), ("byline", d["bp"])).alias("published_source"),
+            F.coalesce(d["ju"], d["mu"], d["bu"], http_last_modified, sitemap_lastmod).alias("updated"),
+            source(("jsonld", d["ju"]), ("og", d["mu"]), ("byline", d["bu"]), ("http_last_modified", http_last_modified), ("sitemap", sitemap_lastmod)).alias("updated_source"),
+        )
+
+    found = F.struct(jp.alias("jp"), ju.alias("ju"), mp.alias("mp"), mu.alias("mu"), F.array_min(bp).alias("bp"), F.array_max(bu).alias("bu"))
+    return let(found, merged)
 
 
 def pdf_date(raw: Column) -> Column:

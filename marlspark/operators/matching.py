@@ -79,7 +79,7 @@ def concat_pages(pages: DataFrame, limit: int | None = None) -> DataFrame:
     """Result pages (page, position, url) as one list, each URL at its first place, numbered (page - 1) * 10 + position + 1."""
     p = pages.withColumn("place", (F.col("page") - 1) * 10 + F.col("position") + 1)
     first = p.groupBy("url").agg(F.min("place").alias("place")).withColumn("lane", url_lane(F.col("url")))
-    return first.orderBy("place").limit(limit) if limit else first
+    return first.orderBy("place", "url").limit(limit) if limit else first
 
 
 def outcome_counts(results: DataFrame, *by: str) -> DataFrame:

@@ -154,3 +154,27 @@ def semantic_filtered(spark, sf_dir):
     e = embeddings(spark, sf_dir)
     some = e.filter(F.substring_index("url", "/", -1).cast("int") % 3 != 0).select("url").distinct()
     return V.search(e, _first_vector(spark, sf_dir), 15, threshold=-0.2, doc_type="pdf", urls=some)
+
+
+@query(
+    r"""WITH p AS (SELECT page_id % 5 + 1 AS page, page_id // 5 % 10 AS position, string_split(url, '?')[1] AS url FROM pages), f AS (SELECT url, min((page - 1) * 10 + position + 1) AS place FROM p GROUP BY url)
+    SELECT url, place, CASE WHEN ends_with(lower(url), '.pdf') THEN 'pdf' ELSE 'html' END AS lane FROM f ORDER BY place, url LIMIT 25"""
+)
+def result_list_top(spark, sf_dir):
+    """The first twenty-five of the result list."""
+    rows = pages(spark, sf_dir).select((F.col("page_id") % 5 + 1).alias("page"), (F.floor(F.col("page_id") / 5) % 10).alias("position"), F.substring_index("url", "?", 1).alias("url"))
+    return M.concat_pages(rows, 25)
+
+
+_UNMARKED = r"regexp_replace(text, '(?i)\[(edit|citation needed|source)\]', '', 'g')"
+_CLEAN = r"""array_to_string(list_transform(list_filter(string_split({t}, chr(10)), lambda x: trim(x) <> '-'), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), chr(10))"""
+
+
+@query(
+    rf"""WITH c AS (SELECT doc_id, trim(regexp_replace({_CLEAN.format(t=_UNMARKED)}, '\n{{3,}}', chr(10) || chr(10), 'g')) AS c, trim(regexp_replace({_CLEAN.format(t="text")}, '\n{{4,}}', chr(10) || chr(10), 'g')) AS pdf FROM documents)
+    SELECT doc_id, pdf, CASE WHEN length(c) > 500 THEN rtrim(substr(c, 1, 500)) || '...' ELSE c END AS shown, trim(regexp_replace(c, '\s+', ' ', 'g')) AS embedded FROM c"""
+)
+def text_uses(spark, sf_dir):
+    """Texts cleaned as from PDF files, for display, and for an encoder."""
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", T.clean_extracted_text(t, "pdf").alias("pdf"), T.clean_for_display(t).alias("shown"), T.clean_for_embedding(t).alias("embedded"))

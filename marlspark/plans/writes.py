@@ -14,7 +14,7 @@ from ..operators import layout as L
 from ..operators import queue as Q
 from ..operators import vectors as V
 from ..registry import query
-from ..session import AS_OF
+from ..session import AS_OF, Settings
 from ..sources.tables import as_of, embeddings, events, pages, pdf_spans, table, url_raw
 from .layout import _SPANS
 from .scoring import _BODIES, _MARKED, marked_pages
@@ -128,23 +128,50 @@ def results_in_order(spark, sf_dir):
     return C.merge_by_index(cached, done).withColumn("n_chars", F.coalesce("n_chars", F.lit(0)))
 
 
-_FRESH = (
-    (304, None, None, None, None, None, None, None, "true", "not_modified"), (200, "a", "a", None, None, -9, None, None, "true", "etag_match"), (200, "a", "b", "m", "m", -1, None, None, "false", "etag_changed"),
-    (200, None, "b", "m", "m", -9, None, None, "true", "last_modified_match"), (200, None, None, "m", "n", -2, -1, None, "false", "content_updated"), (200, None, None, None, None, None, None, None, "false", "never_fetched"),
-    (200, None, None, None, None, -6, -9, None, "true", "within_staleness"), (200, None, None, None, None, -7, None, -800, "true", "old_content"), (200, None, None, None, None, -40, -20, -800, "false", "content_updated"),
-    (200, None, None, None, None, -40, None, -300, "false", "stale"), (200, None, None, None, None, -40, -400, -300, "true", "old_content"),
-)
+@query(
+    f"""WITH o AS (SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'P' THEN 304 ELSE 200 END AS status, CASE WHEN o_custkey % 3 = 0 THEN o_custkey % 2 END AS old_tag, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey % 2 END AS new_tag,
+      CASE WHEN o_custkey % 5 = 0 THEN o_custkey % 4 END AS old_mod, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 4 END AS new_mod, CASE WHEN o_custkey % 11 <> 0 THEN o_orderkey % 60 END AS fetched, CASE WHEN o_orderkey % 5 = 1 THEN o_custkey % 100 END AS updated,
+      CASE WHEN o_totalprice > 100000 THEN epoch_us({_NOW}) - epoch_us(o_orderdate::TIMESTAMP) WHEN o_totalprice > 40000 THEN (o_custkey % 500) * 86400000000 END / 86400000000.0::DOUBLE AS published, CASE o_orderkey % 3 WHEN 0 THEN 7 WHEN 1 THEN 90 ELSE 30 END AS days FROM orders),
+    r AS (SELECT k, CASE WHEN status = 304 THEN 'not_modified' WHEN old_tag = new_tag THEN 'etag_match' WHEN old_tag IS NOT NULL AND new_tag IS NOT NULL THEN 'etag_changed' WHEN old_mod = new_mod THEN 'last_modified_match' WHEN updated < fetched THEN 'content_updated'
+      WHEN fetched IS NULL THEN 'never_fetched' WHEN fetched < days THEN 'within_staleness' WHEN published IS NOT NULL AND coalesce(updated, published) > 365 THEN 'old_content' ELSE 'stale' END AS reason FROM o)
+    SELECT k AS o_orderkey, reason IN ('not_modified', 'etag_match', 'last_modified_match', 'within_staleness', 'old_content') AS is_fresh, reason FROM r"""
+)
+def freshness_branches(spark, sf_dir):
+    """Every branch of the decision on freshness, by orders' own columns: tags, dates and ages follow from keys, prices, states and order dates."""
+    k, c, price = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_totalprice")
+    ago = lambda days: as_of() - F.make_dt_interval(days.cast("int"))
+    text = lambda ok, x: F.when(ok, x.cast("string"))
+    published = F.when(price > 100000, F.col("o_orderdate").cast("timestamp")).when(price > 40000, ago(c % 500))
+    kind = F.when(k % 3 == 0, "news").when(k % 3 == 1, "paper").otherwise("docs")
+    d = D.freshness(
+        F.when(F.col("o_orderstatus") == "P", 304).otherwise(200), text(c % 3 == 0, c % 2), text(k % 4 == 0, k % 2), text(c % 5 == 0, c % 4), text(k % 3 == 0, k % 4),
+        F.when(c % 11 != 0, ago(k % 60)), F.when(k % 5 == 1, ago(c % 100)), published, kind, Settings().staleness_days, as_of(),
+    )
+    return table(spark, sf_dir, "orders").select("o_orderkey", d.alias("d")).select("o_orderkey", "d.*")
 
 
-@query(f"SELECT o_orderkey, [{', '.join(r[8] for r in _FRESH)}][o_orderkey % {len(_FRESH)} + 1] AS is_fresh, [{', '.join(repr(r[9]) for r in _FRESH)}][o_orderkey % {len(_FRESH)} + 1] AS reason FROM orders")
-def freshness_branches(spark, sf_dir):
-    """Every branch of the decision on freshness."""
-    rows = [(i, *r[:8]) for i, r in enumerate(_FRESH)]
-    f = spark.createDataFrame(rows, "k bigint, status int, old_tag string, new_tag string, old_mod string, new_mod string, fetched int, updated int, published int")
-    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % len(_FRESH)).alias("k")).join(F.broadcast(f), "k")
-    day = lambda c: as_of() + F.make_dt_interval(F.col(c))
-    d = D.freshness(*map(F.col, ("status", "old_tag", "new_tag", "old_mod", "new_mod")), day("fetched"), day("updated"), day("published"), F.lit("html"), {"html": 7}, as_of())
-    return o.select("o_orderkey", d.alias("d")).select("o_orderkey", "d.*")
+@query(
+    """WITH e AS (SELECT event_id, event_id % 8 AS k, ts, date_trunc('day', ts) AS d, date_trunc('day', ts) + INTERVAL 3 DAY AS l FROM events)
+    SELECT event_id, CASE WHEN k IN (0, 1, 3, 4, 5) THEN d WHEN k = 2 THEN d + INTERVAL 10 HOUR END AS published, CASE WHEN k IN (0, 1) THEN 'jsonld' WHEN k IN (2, 3, 4) THEN 'og' WHEN k = 5 THEN 'byline' ELSE 'none' END AS published_source,
+    CASE WHEN k IN (0, 1, 3, 5) THEN l WHEN k IN (2, 6) THEN ts WHEN k = 4 THEN l + INTERVAL 1 HOUR END AS updated, CASE k WHEN 0 THEN 'jsonld' WHEN 1 THEN 'og' WHEN 2 THEN 'http_last_modified' WHEN 3 THEN 'og' WHEN 4 THEN 'sitemap' WHEN 5 THEN 'byline' WHEN 6 THEN 'http_last_modified' ELSE 'none' END AS updated_source FROM e"""
+)
+def dates_detected(spark, sf_dir):
+    """Dates of pages that have them in one of the places, by event: JSON-LD, its graph, meta tags either way round, time elements, bylines, and what a server or a sitemap says."""
+    at, k = F.col("at"), F.col("k")
+    e = events(spark, sf_dir).select("event_id", (F.col("event_id") % 8).alias("k"), "at", F.date_format("at", "yyyy-MM-dd").alias("d"), F.date_format(F.col("at") + F.expr("INTERVAL 3 DAYS"), "yyyy-MM-dd").alias("l"))
+    text = lambda *parts: F.concat(*[F.col(x) if x in ("d", "l") else F.lit(x) for x in parts])
+    html = (
+        F.when(k == 0, text('<script type="application/ld+json">{"@type":"Article","datePublished":"', "d", '","dateModified":"', "l", '"}</script>'))
+        .when(k == 1, text('<script type="application/ld+json">{"@graph":[{"@type":"Thing"},{"datePublished":"', "d", '"}]}</script><meta property="article:modified_time" content="', "l", '">'))
+        .when(k == 2, text('<meta property="article:published_time" content="', "d", 'T10:00:00Z">'))
+        .when(k == 3, text('<meta content="', "d", '" name="datePublished"><meta itemprop="dateModified" content="', "l", '">'))
+        .when(k == 4, text('<time itemprop="datePublished" datetime="', "d", '">long ago</time>'))
+        .otherwise("<p>nothing here</p>")
+    )
+    day = lambda c: F.date_format(F.to_date(c), "MMMM d, yyyy")
+    byline = F.when(k == 5, F.concat(F.lit("Published: "), day("d"), F.lit(", as it was written by those who were there. Updated: "), day("l"))).otherwise("no date")
+    http, sitemap = F.when(k.isin(2, 6), at), F.when(k.isin(2, 4), F.to_timestamp("l") + F.expr("INTERVAL 1 HOUR"))
+    return e.select("event_id", D.detect_dates(html, byline, http, sitemap).alias("x")).select("event_id", "x.*")
 
 
 _ITEMS = f"""flatten(list_transform({_BODIES}, lambda b: CASE WHEN json_type(b) = 'ARRAY' THEN json_extract(b, '$[*]') ELSE [b::JSON] END))"""
