@@ -20,10 +20,12 @@ def fingerprint(docs: DataFrame, key: str, text: str = "text", size: int = 5, ke
 
 
 def shingle_overlap(left: DataFrame, left_key: str, right: DataFrame, right_key: str, text: str = "text", size: int = 5) -> DataFrame:
-    """Pairs of keys with the number of distinct shingles that both have: an equi-join on the shingle's words, where the smaller side is broadcast while Spark finds it small."""
-    a = left.select(left_key, F.explode(T.shingles(F.col(text), size)).alias("g"))
-    b = right.select(right_key, F.explode(T.shingles(F.col(text), size)).alias("g"))
-    return a.join(b, "g").groupBy(left_key, right_key).agg(F.count(F.lit(1)).alias("shared"))
+    """Pairs of keys with the number of distinct shingles that both have: an equi-join on two 64-bit hashes of a shingle, so that no words are shuffled; the smaller side is broadcast while Spark finds it small."""
+
+    def hashed(df: DataFrame, key: str) -> DataFrame:
+        return df.select(key, F.explode(T.shingles(F.col(text), size)).alias("g")).select(key, F.xxhash64("g").alias("g1"), F.xxhash64(F.lit(1), F.col("g")).alias("g2"))
+
+    return hashed(left, left_key).join(hashed(right, right_key), ["g1", "g2"]).groupBy(left_key, right_key).agg(F.count(F.lit(1)).alias("shared"))
 
 
 def tfidf_cosine(a: Column, b: Column, most: int = 500) -> Column:
