@@ -235,3 +235,30 @@ def test_table_cells_are_paired_in_runs(spark):
     texts = ["".join(rng.choice(["|", " ", "a", "b c", "\n", "\n|", "$1", "\r", "é"]) for _ in range(rng.randrange(30))) for _ in range(400)] + ["|k\n" * 200_000]
     df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
     assert [r[0] for r in df.select(T.clean_wikipedia_tables(F.col("t"))).collect()] == [loop(t) for t in texts]
+
+
+def titled_pages(spark, folder):
+    """Pages whose titles hold references that are cut, others than &amp;, lines, or nothing."""
+    titles = ["A &amp; B", "cut &amp", "token = &quot;0b96", " &copy; &lt;b&gt; &#65; ", "two\nlines  of it", "", "&amp;amp;"]
+    rows = [(i, f"http://a.b/{i}", f"<html>\n<head><title>{t}</title></head><body><article><a href='/x'>l</a></article><svg><title>other</title></svg></body></html>") for i, t in enumerate(titles)]
+    rows.append((len(rows), "http://a.b/none", "<html><body><article>no title</article></body></html>"))
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    return [*(t.strip(" ").replace("&amp;", "&") for t in titles), ""]
+
+
+def titles_by_sql(name, folder):
+    import duckdb
+
+    from marlspark import catalog
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{folder}/pages.parquet/*.parquet')")
+    return dict(con.execute(f"SELECT page_id, title FROM ({catalog.ORACLE_SQL[name]})").fetchall())
+
+
+def test_titles_are_as_written(spark, tmp_path):
+    from marlspark import catalog
+
+    titles = titled_pages(spark, tmp_path)
+    got = {r.page_id: r.title for r in catalog.QUERIES["html_features"](spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(titles)) == titles_by_sql("html_features", tmp_path)
