@@ -262,3 +262,11 @@ def test_titles_are_as_written(spark, tmp_path):
     titles = titled_pages(spark, tmp_path)
     got = {r.page_id: r.title for r in catalog.QUERIES["html_features"](spark, str(tmp_path)).collect()}
     assert got == dict(enumerate(titles)) == titles_by_sql("html_features", tmp_path)
+
+
+def test_titles_of_marked_pages_are_as_written(spark, tmp_path):
+    from marlspark import catalog
+
+    titled_pages(spark, tmp_path)
+    got = {r.page_id: r.title for r in catalog.QUERIES["html_features_marked"](spark, str(tmp_path)).collect()}
+    assert got == titles_by_sql("html_features_marked", tmp_path)
