@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import os
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -86,20 +87,23 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both / (len(a) + len(b) - both) >= similarity
 
 
-def sketches(docs: DataFrame, folder: str, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, digest of the set, its place (file, at, n) and its bands, for every row of docs. Writes the sets."""
+def sketches(docs: DataFrame, folder: str, shingle: int = SHINGLE, fingerprint: Callable[[str | None], int] | None = None) -> DataFrame:
+    """doc_id, digest of the set, its place (file, at, n) and its bands, for every row of docs; with fingerprint, also its 64 bits (print, signed). Writes the sets."""
     files = Files(folder)
     kind = documents(docs).schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "digest", "file", "at", "n", "bands"]
+    names = ["doc_id", "digest", "file", "at", "n", "bands", *["print"] * bool(fingerprint)]
 
     def run(batches):
         name, held, size = uuid.uuid4().int >> 65, [], 0
         for b in batches:
-            sets = [shingles(t, shingle) for t in b.column(1).to_pylist()]
+            texts = b.column(1).to_pylist()
+            sets = [shingles(t, shingle) for t in texts]
             n = np.array([len(s) for s in sets], np.int64)
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             at = size + np.r_[0, np.cumsum(n)[:-1]] if len(n) else n
             cols = [b.column(0), pa.array(digests, pa.binary()), pa.array([name] * len(n), pa.int64()), pa.array(at, pa.int64()), pa.array(n), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
+            if fingerprint:
+                cols.append(pa.array(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)))
             held += sets
             size += int(n.sum())
             if size >= FILE:
@@ -109,7 +113,7 @@ def sketches(docs: DataFrame, folder: str, shingle: int = SHINGLE) -> DataFrame:
         if held:
             files.write(f"sets-{name}", _packed(np.concatenate(held)))
 
-    return documents(docs).mapInArrow(run, f"doc_id {kind}, digest binary, file bigint, at bigint, n bigint, bands array<bigint>")
+    return documents(docs).mapInArrow(run, f"doc_id {kind}, digest binary, file bigint, at bigint, n bigint, bands array<bigint>{', print bigint' if fingerprint else ''}")
 
 
 class _Sets:

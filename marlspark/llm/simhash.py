@@ -288,20 +288,32 @@ def linked_prints(docs: DataFrame, threshold: int = 4, blocks: int = 3, shingle:
     return prints.join(classes, "print", "left").select("doc_id", "print", "component_id")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = near_copies.SHINGLE, similarity: float = near_copies.SIMILARITY) -> DataFrame:
-    """doc_id, component_id for every row of docs, by the Jaccard similarity of whole sets of shingles.
+def near_duplicates(docs: DataFrame, shingle: int = near_copies.SHINGLE, similarity: float = near_copies.SIMILARITY, threshold: int = 4, blocks: int = 3) -> DataFrame:
+    """doc_id, component_id for every row of docs, by links of fingerprints and by the Jaccard similarity of whole sets of shingles.
 
-    A few bits of a fingerprint miss most pairs below 0.95; these are found in near_copies, and contracted as links of fingerprints are.
+    Fingerprints within `threshold` bits are linked as in linked_prints. Few bits miss most pairs below 0.95;
+    these are found in near_copies. Links of both kinds are contracted together. Nodes are distinct sets; a row without a doc_id links nothing.
     """
-    folder = fresh_path(docs.sparkSession, "sets")
-    found = materialize(near_copies.sketches(docs, folder, shingle), "sketches")
+    spark = docs.sparkSession
+    folder = fresh_path(spark, "sets")
+    found = materialize(near_copies.sketches(docs, folder, shingle, fingerprint), "sketches")
+    named = found.filter("doc_id IS NOT NULL")
     first = F.min_by(F.struct("file", "at", "n", "bands"), "doc_id").alias("first")
-    points = found.filter("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").cast("bigint").alias("node"), first)
+    points = named.groupBy("digest").agg(F.min("doc_id").cast("bigint").alias("node"), first)
     points = materialize(points.select("digest", "node", "first.*"), "points")
-    joined = components(near_copies.links(points, folder, similarity))
-    drop(docs.sparkSession, folder)  # links are stored by now, and sets no more asked for
-    classes = points.join(joined, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-    return found.join(classes, "digest", "left").select("doc_id", "component_id")
+    alike = materialize(near_copies.links(points, folder, similarity), "alike")
+    drop(spark, folder)  # links are stored by now, and sets no more asked for
+    prints = materialize(named.select("digest", "print").distinct().join(points.select("digest", "node"), "digest").select("print", "node"), "prints")
+    # a fingerprint stands at the smallest of the sets that have it
+    homes = materialize(prints.groupBy("print").agg(F.min("node").alias("home")), "homes")
+    shared = prints.join(homes, "print").filter("node <> home").select(F.col("home").alias("u"), F.col("node").alias("v"))
+    edges = alike.unionByName(shared).unionByName(links(homes.withColumnRenamed("home", "node"), threshold, blocks))
+    joined = components(edges)
+    classes = materialize(points.join(joined, "node", "left").select("digest", "node", F.coalesce("component", "node").alias("component_id")), "classes")
+    of_print = homes.join(classes, homes["home"] == classes["node"]).select("print", F.col("component_id").alias("by_print"))
+    out = found.select("doc_id", "digest", "print").join(classes.select("digest", "component_id"), "digest", "left")
+    # only a row without a doc_id may have a set of its own, and a fingerprint that others have
+    return out.join(of_print, "print", "left").select("doc_id", F.coalesce("component_id", "by_print").alias("component_id"))
 
 
 def query(docs: DataFrame) -> DataFrame:

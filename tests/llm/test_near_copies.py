@@ -58,3 +58,16 @@ def test_dealt_buckets_keep_components(spark, tmp_path):
     for bucket in (1024, 2):
         joined = {r.node: r.component for r in S.components(N.links(points, f"file://{tmp_path}/sets", bucket=bucket)).collect()}
         assert [joined.get(i, i) for i in range(len(texts))] == components(texts)
+
+
+def test_fingerprints_link_what_sets_do_not(spark):
+    """One line many times over: few distinct shingles are shared, and nearly all of the fingerprint's bits."""
+    line = " ".join(f"w{i}" for i in range(40)) + " "
+    a, b = (line * 200 + " ".join(f"{c}{i}" for i in range(60)) for c in "xy")
+    assert 0 < (S.fingerprint(a) ^ S.fingerprint(b)).bit_count() <= 4 and components([a, b]) == [0, 1]
+    near = " ".join(f"q{i}" for i in range(300))
+    texts = [near, b, a, near + " more", "alone in here", near]
+    df = spark.createDataFrame([*enumerate(texts), (None, b), (None, "nobody has this")], SCHEMA)
+    got = S.near_duplicates(df).collect()
+    assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == {0: 0, 1: 1, 2: 1, 3: 0, 4: 4, 5: 0}
+    assert sorted((r.component_id for r in got if r.doc_id is None), key=str) == [1, None]
