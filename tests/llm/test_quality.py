@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 
@@ -196,3 +197,16 @@ def test_odd_rows(odd, empty, spark):
     rows = R.query(odd).collect()
     assert len(rows) == odd.count() and all(r[n] is not None for r in rows for n in (*NAMES[:1], "base_failed", "kept"))
     assert R.query(empty).count() == 0
+
+
+def test_many_rules_make_no_deep_expression(spark):
+    """A sum of nested terms is a tree as deep as there are rules, whose planning takes the driver hundreds of megabytes or its stack."""
+    rng = np.random.default_rng(1)
+    rules = [C.Rule(tuple((int(rng.integers(12)), bool(rng.integers(2)), float(rng.random())) for _ in range(1 + i % 3))) for i in range(300)]
+    model = C.Model(-0.3, rules, rng.normal(size=len(rules)).tolist())
+    x = rng.random((50, 12))
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(x.tolist())], ["doc_id", *C.FEATURES])
+    out = df.select("doc_id", model.column().alias("s"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert max(map(len, re.findall(r"\(+", plan))) < 50
+    assert np.allclose([r.s for r in out.orderBy("doc_id").collect()], model.scores(x), rtol=0, atol=1e-12)
