@@ -30,28 +30,42 @@ def parse_date(s: Column) -> Column:
 
     def tried(v: Column) -> Column:
         written = F.initcap(F.regexp_replace(v, r"\s+", " "))
-        return F.coalesce(F.when(v.rlike(r"^\d{4}-\d{2}-\d{2}[T ]"), F.try_to_timestamp(v)), let(written, lambda w: F.coalesce(*[F.try_to_timestamp(w, F.lit(f)) for f in _FORMATS])))
+        # a format that doesn't fit costs an exception: only those that begin as the text does are tried
+        begins = lambda w: ((_FORMATS[:1], w.rlike("^[+-]?[0-9]+-")), (_FORMATS[3:4] + _FORMATS[6:], w.rlike("^[+-]?[0-9]+ ")), (_FORMATS[1:3] + _FORMATS[4:6], w.rlike("^[^0-9]")))
+        found = let(written, lambda w: F.coalesce(*[F.when(fits, F.coalesce(*[F.try_to_timestamp(w, F.lit(f)) for f in formats])) for formats, fits in begins(w)]))
+        return F.when(v.isNotNull(), F.coalesce(F.when(v.rlike(r"^\d{4}-\d{2}-\d{2}[T ]"), F.try_to_timestamp(v)), found))
 
     return let(s, tried)
 
 
-def byline_dates(text: Column) -> tuple[Column, Column]:
-    """Arrays of published and updated dates in visible text.
-
-    A date with `updated` or `modified` within 20 characters of the pattern's
-    match, or in it, is an update.
-    """
+def byline_found(text: Column) -> Column:
+    """Every date in visible text as (at, near): what the pattern matches with 20 characters before and after, lower-cased."""
+    none = F.array().cast("array<struct<at: timestamp, near: string>>")
 
     def matches(p: str) -> Column:
-        # what stands around a match is looked at, not taken: it may hold the next one
-        around = f"(?is)(?<=(^.{{0,19}}|.{{20}}))(?:{p})(?=(.{{0,20}}))"
+        # what stands around a match is looked at, not taken: it may hold the next one; behind is only looked where the pattern matches
+        plain = p.replace("(", "(?:", 1)
+        around = f"(?is)(?={plain})(?<=(^.{{0,19}}|.{{20}}))(?:{p})(?=(.{{0,20}}))"
         before, own, date, after = (F.regexp_extract_all(text, F.lit(around), F.lit(i)) for i in (1, 0, 2, 3))
         every = F.arrays_zip(before.alias("before"), own.alias("own"), date.alias("date"), after.alias("after"))
-        return F.transform(every, lambda m: F.struct(parse_date(m["date"]).alias("at"), F.lower(F.concat(m["before"], m["own"], m["after"])).alias("near")))
+        found = F.transform(every, lambda m: F.struct(parse_date(m["date"]).alias("at"), F.lower(F.concat(m["before"], m["own"], m["after"])).alias("near")))
+        return F.when(text.isNull() | text.rlike(f"(?is){plain}"), found).otherwise(none)
+
+    return F.filter(F.concat(*map(matches, BYLINE_PATTERNS)), lambda d: d["at"].isNotNull())
+
 
-    every = F.filter(F.concat(*map(matches, BYLINE_PATTERNS)), lambda d: d["at"].isNotNull())
+def _published_updated(found: Column) -> tuple[Column, Column]:
     new = lambda d: F.contains(d["near"], F.lit("updated")) | F.contains(d["near"], F.lit("modified"))
-    return F.transform(F.filter(every, lambda d: ~new(d)), lambda d: d["at"]), F.transform(F.filter(every, new), lambda d: d["at"])
+    return F.transform(F.filter(found, lambda d: ~new(d)), lambda d: d["at"]), F.transform(F.filter(found, new), lambda d: d["at"])
+
+
+def byline_dates(text: Column) -> tuple[Column, Column]:
+    """Arrays of published and updated dates in visible text.
+
+    A date with `updated` or `modified` within 20 characters of the pattern's
+    match, or in it, is an update.
+    """
+    return _published_updated(byline_found(text))
 
 
 def json_ld(html: Column) -> Column:
@@ -97,18 +111,19 @@ def detect_dates(html: Column, text: Column, http_last_modified: Column, sitemap
     """published, updated and where each is from: JSON-LD, meta tags, byline, HTTP, sitemap; the earliest publication and latest update within a source."""
     jp, ju = json_ld_dates(html)
     mp, mu = meta_dates(html)
-    bp, bu = byline_dates(text)
+    byline = let(byline_found(text), lambda v: F.struct(*[f(x).alias(n) for f, x, n in zip((F.array_min, F.array_max), _published_updated(v), ("bp", "bu"), strict=True)]))
     source = lambda *c: F.coalesce(*[F.when(x.isNotNull(), n) for n, x in c], F.lit("none"))
 
     def merged(d: Column) -> Column:
+        bp, bu = d["byline"]["bp"], d["byline"]["bu"]
         return F.struct(
-            F.coalesce(d["jp"], d["mp"], d["bp"]).alias("published"),
-            source(("jsonld", d["jp"]), ("og", d["mp"]), ("byline", d["bp"])).alias("published_source"),
-            F.coalesce(d["ju"], d["mu"], d["bu"], http_last_modified, sitemap_lastmod).alias("updated"),
-            source(("jsonld", d["ju"]), ("og", d["mu"]), ("byline", d["bu"]), ("http_last_modified", http_last_modified), ("sitemap", sitemap_lastmod)).alias("updated_source"),
+            F.coalesce(d["jp"], d["mp"], bp).alias("published"),
+            source(("jsonld", d["jp"]), ("og", d["mp"]), ("byline", bp)).alias("published_source"),
+            F.coalesce(d["ju"], d["mu"], bu, http_last_modified, sitemap_lastmod).alias("updated"),
+            source(("jsonld", d["ju"]), ("og", d["mu"]), ("byline", bu), ("http_last_modified", http_last_modified), ("sitemap", sitemap_lastmod)).alias("updated_source"),
         )
 
-    found = F.struct(jp.alias("jp"), ju.alias("ju"), mp.alias("mp"), mu.alias("mu"), F.array_min(bp).alias("bp"), F.array_max(bu).alias("bu"))
+    found = F.struct(jp.alias("jp"), ju.alias("ju"), mp.alias("mp"), mu.alias("mu"), byline.alias("byline"))
     return let(found, merged)
 
 

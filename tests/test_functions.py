@@ -270,3 +270,20 @@ def test_titles_of_marked_pages_are_as_written(spark, tmp_path):
     titled_pages(spark, tmp_path)
     got = {r.page_id: r.title for r in catalog.QUERIES["html_features_marked"](spark, str(tmp_path)).collect()}
     assert got == titles_by_sql("html_features_marked", tmp_path)
+
+
+def test_bylines_of_long_texts_take_no_long_time(spark):
+    """What stands before a match is looked at where one is, not at every character."""
+    from time import time
+
+    text = "Some words of no date at all, and 12 numbers. " * 1500
+    rows = [text + "Updated: January 15, 2024 by us"] * 60
+    start = time()
+    got = values(spark, "string", rows, lambda c: F.struct(*D.byline_dates(c)))
+    assert {(len(p), len(u)) for p, u in got} == {(0, 1)} and time() - start < 15
+
+
+def test_every_form_of_a_date_is_read(spark):
+    dates = ["2024-01-15", "2024-01-15T00:00:00", "January 15, 2024", "JANUARY 15 2024", "15 january  2024", "Jan 15, 2024", "Jan 15 2024", "15 Jan 2024"]
+    assert {str(x) for x in values(spark, "string", dates, D.parse_date)} == {"2024-01-15 00:00:00"}
+    assert values(spark, "string", ["15", "Mon 15", "2024-13-01", "", None], D.parse_date) == [None] * 5
