@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Iterable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,28 +33,24 @@ def shingle_overlap(left: DataFrame, left_key: str, right: DataFrame, right_key:
     return hashed(left, left_key).join(hashed(right, right_key), ["g1", "g2"]).groupBy(left_key, right_key).agg(F.count(F.lit(1)).alias("shared"))
 
 
+def _terms(tokens: Iterable[str], most: int) -> dict[str, int]:
+    """The `most` most frequent terms with their counts; equals by code points."""
+    n = Counter(w for w in tokens if len(w) >= 2 and w not in STOP_WORDS)
+    return dict(sorted(n.items(), key=lambda e: (-e[1], e[0]))[:most])
+
+
+def _cosine(a: dict[str, int], b: dict[str, int]) -> float:
+    rare = math.log(1.5) + 1.0
+    va, vb = ({w: n * (1.0 if w in other else rare) for w, n in own.items()} for own, other in ((a, b), (b, a)))
+    na, nb = (math.sqrt(sum(x * x for x in v.values())) for v in (va, vb))
+    return sum(x * vb.get(w, 0.0) for w, x in va.items()) / (na * nb) if na and nb else 0.0
+
+
 def tfidf_cosine(a: Column, b: Column, most: int = 500) -> Column:
-    """Cosine of two texts' TF-IDF vectors, idf over just these two, at most `most` terms of each text by frequency."""
-
-    def tokens(t: Column) -> Column:
-        return F.array_sort(F.filter(F.split(F.lower(t), r"[^\p{L}\p{N}]+"), lambda x: (F.length(x) >= 2) & ~x.isin(*STOP_WORDS)))
-
-    def terms(w: Column) -> Column:
-        # in sorted order a term's count is the way from its first place to the next term's
-        starts = F.filter(F.transform(w, lambda x, i: F.when((i == 0) | (F.get(w, i - 1) != x), i)), lambda i: i.isNotNull())
-        ends = lambda s, k: F.coalesce(F.get(s, k + 1), F.size(w))
-        counted = T.let(starts, lambda s: F.transform(s, lambda i, k: F.struct((i - ends(s, k)).alias("n"), F.get(w, i).alias("w"))))
-        return F.slice(F.array_sort(counted), 1, most)
-
-    def weigh(own: Column, other: Column) -> Column:
-        idf = lambda e: F.when(F.map_contains_key(other, e["w"]), F.lit(1.0)).otherwise(F.log(F.lit(1.5)) + F.lit(1.0))
-        return F.map_from_entries(F.transform(own, lambda e: F.struct(e["w"], (-e["n"] * idf(e)).alias("v"))))
-
-    def cosine(va: Column, vb: Column) -> Column:
-        norm = lambda v: F.sqrt(F.aggregate(F.map_values(v), F.lit(0.0), lambda s, x: s + x * x))
-        dot = F.aggregate(F.map_entries(va), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at(vb, e["key"]), F.lit(0.0)))
-        return F.when((norm(va) == 0) | (norm(vb) == 0), 0.0).otherwise(dot / (norm(va) * norm(vb)))
-
-    keys = lambda t: F.map_from_entries(F.transform(t, lambda e: F.struct(e["w"], e["n"])))
-    vectors = lambda ta, tb: T.let(weigh(ta, keys(tb)), lambda va: T.let(weigh(tb, keys(ta)), lambda vb: cosine(va, vb)))
-    return T.let(T.let(tokens(a), terms), lambda ta: T.let(T.let(tokens(b), terms), lambda tb: vectors(ta, tb)))
+    """Cosine of two texts' TF-IDF vectors, idf over just these two, at most `most` terms of each text by frequency. Null if a text is."""
+
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if i is None or j is None else _cosine(_terms(i, most), _terms(j, most)) for i, j in zip(x, y, strict=True)], dtype="float64")
+
+    tokens = lambda t: F.split(F.lower(t), r"[^\p{L}\p{N}]+")
+    return F.pandas_udf(run, "double")(tokens(a), tokens(b))

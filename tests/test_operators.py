@@ -231,3 +231,15 @@ def test_analysis_pipeline_decides_by_the_store(spark):
     q = entry.queries()["analysis_pipeline"](spark, SF).collect()
     assert len({r.url for r in q}) == len(q) and {r.decision for r in q} == {"reuse", "refetch"}
     assert all(r.decision == "refetch" for r in q if r.status != "success")
+
+
+def test_similarity_of_many_terms_takes_no_product_of_them(spark):
+    from time import time
+
+    from marlspark.operators import similarity
+
+    text = " ".join(f"word{i}" for i in range(3000))
+    df = spark.createDataFrame([(text, text + " more")] * 200, "a string, b string")
+    start = time()
+    assert {round(r.s, 6) for r in df.select(similarity.tfidf_cosine(F.col("a"), F.col("b")).alias("s")).collect()} and time() - start < 30
+    assert spark.createDataFrame([(None, "x")], "a string, b string").select(similarity.tfidf_cosine(F.col("a"), F.col("b")).alias("s")).first().s is None
