@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_artifact
+from ..sources.shared import bounded
 
 #: Words after which a heading goes on.
 CONTINUES = ("the", "a", "an", "of", "in", "on", "for", "to", "with", "by", "from", "at", "as", "is", "are", "was", "were")
@@ -96,29 +97,44 @@ def repeated_blocks(spans: DataFrame, least_pages: int = 8, share: float = 0.5,
     return seen.join(pages, "doc_id").filter((F.col("pages") >= least_pages) & (F.col("on_pages") >= F.floor(F.col("pages") * share)))
 
 
-def _merge(frames: Iterator[pd.DataFrame] | pd.DataFrame) -> pd.DataFrame:
+def _merge(spans: list[dict]) -> list[dict]:
+    """Blocks (type, text, size) of a page's spans in order."""
     out: list[dict] = []
     now: dict | None = None
-    for r in frames.sort_values("span_no").itertuples():
+    for r in spans:
+        text = r["text"]
         if now is not None:
             last = now["text"].rstrip()
             word = last.split()[-1] if last.split() else ""
-            s = r.text.strip()
+            s = text.strip()
             goes_on = bool(last) and last[-1] not in ".!?:;,’" and bool(s) and (s[0].islower() or word.endswith(("’s", "'s", "’")) or word.lower() in CONTINUES)
-            if now["type"] == r.type or goes_on:
-                joint = "" if now["text"].endswith((" ", "\n", "\t", "-")) or r.text.startswith((" ", "\n", "\t")) else " "
-                now["text"] += joint + r.text
+            if now["type"] == r["type"] or goes_on:
+                joint = "" if now["text"].endswith((" ", "\n", "\t", "-")) or text.startswith((" ", "\n", "\t")) else " "
+                now["text"] += joint + text
                 continue
-        now = {"doc_id": r.doc_id, "page_no": r.page_no, "block_no": len(out), "type": r.type, "text": r.text, "size": r.size}
+        now = {"type": r["type"], "text": text, "size": r["size"]}
         out.append(now)
-    return pd.DataFrame(out, columns=["doc_id", "page_no", "block_no", "type", "text", "size"])
+    return out
+
+
+def _blocks_of_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each block from rows of pages (doc_id, page_no, spans)."""
+    names = ["doc_id", "page_no", "block_no", "type", "text", "size"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64()]
+    for batch in batches:
+        rows = [(d, p, i, b["type"], b["text"], b["size"]) for d, p, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True) for i, b in enumerate(_merge(spans))]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
 def merge_spans(spans: DataFrame) -> DataFrame:
-    """Blocks of a page: neighbouring spans of one kind, and sentences that go on. A group is one page's spans. Headings of more than 25 words or 150 characters are body."""
+    """Blocks of a page: neighbouring spans of one kind, and sentences that go on. A row is one page's spans. Headings of more than 25 words or 150 characters are body."""
     s = spans.filter(~is_artifact(F.col("text"))).join(font_statistics(spans), "doc_id")
     typed = s.select("doc_id", "page_no", "span_no", "text", "size", type_by_size(F.col("size"), F.col("text")).alias("type"))
-    b = typed.groupBy("doc_id", "page_no").applyInPandas(_merge, "doc_id bigint, page_no bigint, block_no bigint, type string, text string, size double")
+    # many pages have few spans each: a batch holds many of them, where a pandas frame for each costs more than its work
+    bounded(spans.sparkSession)
+    pages = typed.groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("span_no", "type", "text", "size"))).alias("spans"))
+    b = pages.select(F.col("doc_id").cast("bigint"), F.col("page_no").cast("bigint"), "spans").mapInArrow(_blocks_of_pages, "doc_id bigint, page_no bigint, block_no bigint, type string, text string, size double")
     text = F.trim("text")
     long = (F.size(F.split(text, r"(?U)\s+")) > 25) | (F.length(text) > 150)
     kind = F.when(F.col("type").isin(*HEADINGS) & long, "body").otherwise(F.col("type"))

@@ -243,3 +243,12 @@ def test_similarity_of_many_terms_takes_no_product_of_them(spark):
     start = time()
     assert {round(r.s, 6) for r in df.select(similarity.tfidf_cosine(F.col("a"), F.col("b")).alias("s")).collect()} and time() - start < 30
     assert spark.createDataFrame([(None, "x")], "a string, b string").select(similarity.tfidf_cosine(F.col("a"), F.col("b")).alias("s")).first().s is None
+
+
+def test_pages_are_merged_without_a_frame_each(spark):
+    """Many small pages: a pandas frame for each costs more than its work."""
+    rows = spark.range(60).selectExpr("id AS doc_id", "1L AS page_no", "explode(array(2L, 1L)) AS span_no").selectExpr("*", "concat('text ', span_no) AS text", "9D AS size")
+    out = layout.merge_spans(rows)
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = out.collect()
+    assert len(got) == 60 and {(r.block_no, r.text) for r in got} == {(0, "text 1 text 2")}
