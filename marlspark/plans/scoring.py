@@ -106,7 +106,8 @@ def marked_pages(spark, sf_dir):
     html, i = F.col("html"), F.col("page_id")
     canonical = F.when(i % 7 == 0, F.concat(F.lit('<link rel="canonical" href="'), F.col("url"), F.lit('">'))).otherwise("")
     loud = F.when(i % 9 == 0, F.regexp_replace(html, "<title>", _LOUD[0])).when(i % 9 == 1, F.regexp_replace(html, "<title>[^<]*</title>", _LOUD[1])).otherwise(html)
-    extra = F.element_at(F.array(*map(F.lit, _EXTRA)), (i % len(_EXTRA) + 1).cast("int"))
+    place = (i % len(_EXTRA) + 1).cast("int")
+    extra = F.when(place != 0, F.element_at(F.array(*map(F.lit, _EXTRA)), place))  # place 0 has nothing, as in SQL
     return pages(spark, sf_dir).select("page_id", "url", F.concat(loud, canonical, extra).alias("html"))
 
 

@@ -272,6 +272,29 @@ def test_titles_of_marked_pages_are_as_written(spark, tmp_path):
     assert got == titles_by_sql("html_features_marked", tmp_path)
 
 
+def test_features_of_broken_marked_pages(spark, tmp_path):
+    """Comments and tags that never end, wide spaces around a title, no page, and ids below 0."""
+    import duckdb
+
+    from marlspark import catalog
+
+    title = "<title>T &amp; t</title>"
+    pages = [
+        "<p>a</p>\n\n<p>b</p>\n<!-- not closed >\n<p>c</p>\n" + title, "<html>\n<a href='x>\n\n<p>\n" + title, "<title>\u00a0 wide\u3000</title>", None, "", "<TITLE\n>up</TITLE>", "<title>never ends",
+        title + "\n<b\n<article/><article\u000b><article\n><a\u000bhref=x><A title=t HREF=''>", "<!-- <article> <a href=1> --><script>'<a href=2>'</script><svg><title>in</title></svg>" + title,
+    ]
+    rows = [(i, f"http://a.b/{i}", h) for i, h in enumerate(pages, 2)] + [(-1, "http://a.b/below", title), (-13, "http://a.b/below", title), (None, "http://a.b/none", title)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(map(tuple, catalog.QUERIES["html_features_marked"](spark, str(tmp_path)).collect()), key=str)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = sorted(con.execute(f"SELECT page_id, n_articles, n_links, title, rel_next FROM ({catalog.ORACLE_SQL['html_features_marked']})").fetchall(), key=str)
+    assert got == want
+    well = title + "<article><a class=b href='/x'>x</a></article><article></article><link rel='next' href='/2'>"
+    parsed, written = values(spark, "string", [well], lambda c: F.struct(H.features(c), F.struct(*H.written_features(c))))[0]
+    assert (parsed.n_articles, parsed.n_links, parsed.rel_next) == (written.n_articles, written.n_links, written.rel_next) == (2, 1, True)
+
+
 def test_bylines_of_long_texts_take_no_long_time(spark):
     """What stands before a match is looked at where one is, not at every character."""
     from time import time
